@@ -2,16 +2,22 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barkeep.llm import fingerprint, pii, sharding, url_filter
+from barkeep.llm import bpe, fingerprint, pii, sharding, token_count, url_filter
 from barkeep.llm._util import table
 
 # Rules and listed hosts of the URL query.
 RULES = [("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/")]
 LISTED_HOSTS = ["ads-track", "spam-farm", "casino-win", "adult-x", "cheap-pills", "free-bets"]
 N_SHARDS = 40
+RANKS = "byte_bpe_50k.tiktoken"
+
+
+def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.digests(table(spark, sf_dir, "documents"), public_tokenizers.path(RANKS), public_tokenizers.PATTERN)
 
 
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -50,6 +56,22 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *[count(k) for k in base], F.sha2(text, 256).alias("base_sha256"), pii.as_text(F.col("spans")).alias("spans"))
 
 
-QUERIES = {q.__name__: q for q in (op3_sharding, op6_url_filter, op7_fingerprint, op9_pii)}
+def op10_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document under four edits: an insertion, a deletion, a replaced middle and a replaced end."""
+    text, n = F.coalesce(F.col("text"), F.lit("")), F.char_length(F.coalesce(F.col("text"), F.lit("")))
+    at = lambda share: F.floor(n * share).cast("int")
+    edit = lambda start, end, new: F.struct(start.alias("start"), end.alias("end"), new.alias("text"))
+    edits = F.array(
+        edit(at(0.3), at(0.3), F.substring(text, 1, 20)),
+        edit(at(0.5), at(0.5) + 25, F.lit("")),
+        edit(at(0.7), at(0.7) + 40, F.substring(text, at(0.1) + 1, F.lit(30))),
+        edit(F.greatest(n - 15, F.lit(0)), n, F.lit("the end")),
+    )
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", edits.alias("edits"))
+    out = token_count.count_with_edits(docs, public_tokenizers.path(RANKS), public_tokenizers.PATTERN)
+    return out.select("doc_id", "n_tokens", "edited_n_tokens", "n_pretokens", "n_encoded_again", F.sha2("edited_text", 256).alias("edited_sha256"))
+
+
+QUERIES = {q.__name__: q for q in (op1_byte_bpe, op3_sharding, op6_url_filter, op7_fingerprint, op9_pii, op10_token_count)}
 
 ORACLES: dict[str, str] = {}

@@ -13,18 +13,24 @@ each on its own; an empty table gives no rows.
 from __future__ import annotations
 
 import base64
+import re
+import sys
+import unicodedata
 from collections.abc import Iterable, Iterator
 from hashlib import sha256
 from itertools import chain
 
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame
+from pyspark import Broadcast
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, IntegerType, StructField, StructType
 
 #: The character of byte b is chr(FIRST_CHAR + b); sentencepiece has no rule for these letters.
 FIRST_CHAR = 0x100
+#: A character that is no letter, number or space to any version of the tables.
+UNASSIGNED = "\u0378"
 #: Pre-tokens whose ids a worker remembers, and the longest of them.
 CACHED, CACHED_LENGTH = 400_000, 40
 #: Rows that are encoded together.
@@ -55,6 +61,21 @@ def serialise(tokens: list[bytes]) -> bytes:
     return model.SerializeToString()
 
 
+def newer_letters(pattern: str) -> str:
+    """Characters that the pattern's letters and numbers hold here, but not in tiktoken, whose Unicode tables are of an older version.
+
+    Only characters that Python's own tables don't know are tried, each before a contraction that
+    stays whole after a letter and not after a sign.
+    """
+    import tiktoken
+
+    ranks = {bytes([b]): b for b in range(256)} | {b"'r": 256, b"'re": 257}
+    theirs = tiktoken.Encoding("probe", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+    findall = regex.compile(pattern).findall
+    unknown = [chr(i) for i in range(sys.maxunicode + 1) if unicodedata.category(chr(i)) == "Cn"]
+    return "".join(c for c in unknown if findall(f"{c}'re")[-1] == "'re" and theirs(f"{c}'re")[-1] != 257)
+
+
 _TABLE = {b: FIRST_CHAR + b for b in range(256)}
 
 
@@ -63,11 +84,14 @@ def _characters(data: bytes) -> str:
 
 
 class ByteBpe:
-    """Encoder and decoder of one worker, made from a serialised model and the pre-token pattern."""
+    """Encoder and decoder of one worker, made from a serialised model, the pre-token pattern and its newer letters, to be taken as signs."""
 
-    def __init__(self, model: bytes, pattern: str):
+    def __init__(self, model: bytes, pattern: str, newer: str = ""):
         import sentencepiece
 
+        self.newer = dict.fromkeys(map(ord, newer), UNASSIGNED)
+        self.may_hold_newer = re.compile(f"[{min(newer, default='')}-\U0010ffff]").search if newer else lambda text: None
+
         self.processor = sentencepiece.SentencePieceProcessor(model_proto=model)
         self.findall = regex.compile(pattern).findall
         pieces = map(self.processor.id_to_piece, range(1, self.processor.vocab_size()))
@@ -104,31 +128,46 @@ class ByteBpe:
         found = self.cache.get(pretoken)
         return tuple(self.encode_pretokens([[pretoken]])[0]) if found is None else found
 
+    def split(self, text: str) -> list[str]:
+        """The pre-tokens of a text."""
+        if text.isascii() or not self.may_hold_newer(text) or self.newer.keys().isdisjoint(map(ord, set(text))):
+            return self.findall(text)
+        out, at = [], 0
+        for word in self.findall(text.translate(self.newer)):
+            out.append(text[at : at + len(word)])
+            at += len(word)
+        return out
+
     def encode(self, texts: Iterable[str]) -> list[list[int]]:
-        return self.encode_pretokens([self.findall(t) for t in texts])
+        return self.encode_pretokens([self.split(t) for t in texts])
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.token_bytes.__getitem__, ids))
 
 
-_made: dict[tuple[int, str], ByteBpe] = {}
+_made: dict[tuple[int, str, str], ByteBpe] = {}
 
 
-def of_worker(model: bytes, pattern: str) -> ByteBpe:
+def of_worker(model: bytes, pattern: str, newer: str) -> ByteBpe:
     """The coder of this worker process, kept between tasks with what it remembers."""
-    key = (hash(model), pattern)
+    key = (hash(model), pattern, newer)
     if key not in _made:
-        _made[key] = ByteBpe(model, pattern)
+        _made[key] = ByteBpe(model, pattern, newer)
     return _made[key]
 
 
+def for_workers(spark: SparkSession, ranks_path: str, pattern: str) -> Broadcast:
+    """What of_worker needs, broadcast; as large as the vocabulary. The rank file is read by the driver only."""
+    return spark.sparkContext.broadcast((serialise(read_ranks(ranks_path)), pattern, newer_letters(pattern)))
+
+
 def encode(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text") -> DataFrame:
-    """``docs`` with the columns ids (array of int) and decoded (binary). The rank file is read by the driver only."""
-    model = docs.sparkSession.sparkContext.broadcast(serialise(read_ranks(ranks_path)))  # as large as the vocabulary
+    """``docs`` with the columns ids (array of int) and decoded (binary)."""
+    given = for_workers(docs.sparkSession, ranks_path, pattern)
     text_at = docs.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = of_worker(model.value, pattern)
+        coder = of_worker(*given.value)
         for whole in batches:
             for at in range(0, whole.num_rows, TOGETHER):
                 batch = whole.slice(at, TOGETHER)
@@ -142,11 +181,11 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text") -
 
 def digests(docs: DataFrame, ranks_path: str, pattern: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256): encoded and decoded in one pass, with the digests taken on the spot."""
-    model = docs.sparkSession.sparkContext.broadcast(serialise(read_ranks(ranks_path)))
+    given = for_workers(docs.sparkSession, ranks_path, pattern)
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = of_worker(model.value, pattern)
+        coder = of_worker(*given.value)
         names = list(map(str, range(len(coder.token_bytes))))
         for whole in batches:
             for at in range(0, whole.num_rows, TOGETHER):

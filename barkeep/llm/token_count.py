@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barkeep.llm.bpe import TOGETHER, ByteBpe, of_worker, read_ranks, serialise
+from barkeep.llm.bpe import TOGETHER, ByteBpe, for_workers, of_worker
 
 #: Pre-tokens in a leaf at the start, and the number beyond which the tree is laid out anew.
 LEAF, FULL = 32, 256
@@ -94,7 +94,7 @@ class TokenTree:
         new = old[: start - before] + text + old[end - before :]
         while True:
             words, at = [], 0
-            for word in self.coder.findall(new + self._ahead(last + 1)):
+            for word in self.coder.split(new + self._ahead(last + 1)):
                 if at >= len(new):
                     break
                 words.append(word)
@@ -133,17 +133,17 @@ def count_with_edits(docs: DataFrame, ranks_path: str, pattern: str, doc_id: str
 
     ``edits`` is an array of struct<start: int, end: int, text: string>; null means no edit.
     """
-    model = docs.sparkSession.sparkContext.broadcast(serialise(read_ranks(ranks_path)))
+    given = for_workers(docs.sparkSession, ranks_path, pattern)
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.col(edits).alias("edits"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = of_worker(model.value, pattern)
+        coder = of_worker(*given.value)
         for whole in batches:
             for at in range(0, whole.num_rows, TOGETHER):
                 batch = whole.slice(at, TOGETHER)
                 out = []
                 for t, changes in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                    pretokens = coder.findall(t or "")
+                    pretokens = coder.split(t or "")
                     tree = TokenTree(coder, pretokens, coder.counts(pretokens))
                     n_tokens = tree.n_tokens
                     for e in changes or []:

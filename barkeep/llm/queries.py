@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barkeep.llm import bpe, fingerprint, pii, quality, sharding, token_count, url_filter
+from barkeep.llm import bpe, fingerprint, packing, pii, quality, sharding, token_count, url_filter
 from barkeep.llm._util import table
 
 # Rules and listed hosts of the URL query.
@@ -55,6 +55,10 @@ def op7_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.find(table(spark, sf_dir, "documents").select("doc_id", "text"))
     base = [k.name for k in pii.BASE]
@@ -79,6 +83,6 @@ def op10_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_tokens", "edited_n_tokens", "n_pretokens", "n_encoded_again", F.sha2("edited_text", 256).alias("edited_sha256"))
 
 
-QUERIES = {q.__name__: q for q in (op1_byte_bpe, op3_sharding, op4_quality, op6_url_filter, op7_fingerprint, op9_pii, op10_token_count)}
+QUERIES = {q.__name__: q for q in (op1_byte_bpe, op3_sharding, op4_quality, op6_url_filter, op7_fingerprint, op8_packing, op9_pii, op10_token_count)}
 
 ORACLES: dict[str, str] = {}

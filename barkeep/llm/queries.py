@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barkeep.llm import bpe, fingerprint, packing, pii, quality, sharding, token_count, url_filter
+from barkeep.llm import bpe, embed_dedup, fingerprint, packing, pii, quality, sharding, token_count, url_filter
 from barkeep.llm._util import table
 
 # Rules and listed hosts of the URL query.
@@ -20,6 +20,10 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), public_tokenizers.path(RANKS), public_tokenizers.PATTERN)
 
 
+def op2_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embed_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = sharding.minimax_shards(table(spark, sf_dir, "documents"), N_SHARDS)
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", F.col("slot").cast("long"), F.lit(None).cast("int").alias("grown_shard"))
@@ -83,6 +87,6 @@ def op10_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_tokens", "edited_n_tokens", "n_pretokens", "n_encoded_again", F.sha2("edited_text", 256).alias("edited_sha256"))
 
 
-QUERIES = {q.__name__: q for q in (op1_byte_bpe, op3_sharding, op4_quality, op6_url_filter, op7_fingerprint, op8_packing, op9_pii, op10_token_count)}
+QUERIES = {q.__name__: q for q in (op1_byte_bpe, op2_embedding_dedup, op3_sharding, op4_quality, op6_url_filter, op7_fingerprint, op8_packing, op9_pii, op10_token_count)}
 
 ORACLES: dict[str, str] = {}

@@ -171,12 +171,12 @@ def tiles(groups: DataFrame) -> DataFrame:
     sizes = groups.groupBy("label", "width").agg(F.count("*").alias("n"), F.percentile_approx("lead", shares, 10_000).alias("cuts"))
     rows = groups.join(sizes, ["label", "width"])
     quantile = F.size(F.filter("cuts", lambda c: c <= F.col("lead")))
-    lo = F.coalesce(F.try_element_at("cuts", F.col("quantile")), F.lit(-1.0))
-    hi = F.coalesce(F.try_element_at("cuts", F.col("quantile") + 1), F.lit(1.0))
+    edges = F.concat(F.array(F.lit(-1.0)), F.col("cuts"), F.array(F.lit(1.0)))
+    lo, hi = F.element_at(edges, F.col("quantile") + 1), F.element_at(edges, F.col("quantile") + 2)
     steps = F.ceil(F.col("n") / (8 * RANGES * TILE))
     step = F.floor((F.col("lead") - lo) / F.greatest(hi - lo, F.lit(1e-12)) * steps)
     n_ranges = F.least(F.lit(RANGES), F.ceil(F.col("n") / TILE))
-    rows = rows.withColumn("quantile", F.greatest(quantile, F.lit(0)))
+    rows = rows.withColumn("quantile", quantile)
     rows = rows.withColumns({"step": F.least(F.greatest(step, F.lit(0)), steps - 1), "range": F.floor(F.col("quantile") * n_ranges / RANGES)}).drop("cuts", "n", "quantile")
     order = Window.partitionBy("label", "width", "range", "step").orderBy("lead", "rep")
     rows = rows.withColumn("tile", F.floor((F.row_number().over(order) - 1) / TILE))

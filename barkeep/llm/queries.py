@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barkeep.llm import bpe, embed_dedup, fingerprint, packing, pii, quality, sharding, token_count, url_filter
+from barkeep.llm import bpe, embed_dedup, fingerprint, jaccard_join, packing, pii, quality, sharding, token_count, url_filter
 from barkeep.llm._util import table
 
 # Rules and listed hosts of the URL query.
@@ -36,6 +36,10 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", quality.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
+def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The list is every URL of the listed hosts and their subdomains that the table has."""
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
@@ -87,6 +91,6 @@ def op10_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_tokens", "edited_n_tokens", "n_pretokens", "n_encoded_again", F.sha2("edited_text", 256).alias("edited_sha256"))
 
 
-QUERIES = {q.__name__: q for q in (op1_byte_bpe, op2_embedding_dedup, op3_sharding, op4_quality, op6_url_filter, op7_fingerprint, op8_packing, op9_pii, op10_token_count)}
+QUERIES = {q.__name__: q for q in (op1_byte_bpe, op2_embedding_dedup, op3_sharding, op4_quality, op5_jaccard_join, op6_url_filter, op7_fingerprint, op8_packing, op9_pii, op10_token_count)}
 
 ORACLES: dict[str, str] = {}

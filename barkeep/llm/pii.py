@@ -107,13 +107,13 @@ def matches(text: Column, kind: Kind) -> Column:
     return F.when(text.rlike(kind.needs), kept).otherwise(none)
 
 
-def find(docs: DataFrame, text: str = "text", kinds: tuple[Kind, ...] = BASE + ADDED) -> DataFrame:
-    """``docs`` with the column spans: array<struct<kind, start, end, score>> by start, then kind in the given order."""
+def find(docs: DataFrame, text: str = "text", kinds: tuple[Kind, ...] = BASE + ADDED, to: str = "spans") -> DataFrame:
+    """``docs`` with the column ``to``, which replaces one of that name: array<struct<kind, start, end, score>> by start, then kind in the given order."""
     whole = F.coalesce(F.col(text), F.lit(""))
     rank = F.create_map(*[F.lit(x) for i, k in enumerate(kinds) for x in (k.name, i)])
     found = F.concat(*[matches(whole, k) for k in kinds])
     ranked = F.transform(found, lambda s: F.struct(s["start"].alias("start"), rank[s["kind"]].alias("rank"), s.alias("span")))
-    return docs.withColumn("spans", F.transform(F.array_sort(ranked), lambda r: r["span"]))
+    return docs.withColumn(to, F.transform(F.array_sort(ranked), lambda r: r["span"]))
 
 
 def as_text(spans: Column) -> Column:

@@ -21,6 +21,7 @@ repeated rows are packed each on its own; an empty table gives no rows.
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -41,6 +42,19 @@ CELL_ROWS, BLOCK = 20_000, 64
 SPLIT_ONLY = "\x1c\x1d\x1e\x1f"
 
 
+#: Chunks of these characters, of ASCII without the apostrophe and of Latin-1's letters, are only lower-cased by the
+#: tokenizer and cut into the parts below, whose bytes its model then merges. All others take its whole course.
+SIMPLE = re.compile("[!-&(-~À-ÖØ-öø-ÿ]+").fullmatch
+PARTS = re.compile("[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ]+").findall
+
+
+def byte_characters() -> dict[int, int]:
+    """The character by which the model's vocabulary spells each byte: visible Latin-1 is itself, the rest follows from 256 on."""
+    visible = [b for b in range(256) if chr(b).isprintable() and b not in (0x20, 0xA0, 0xAD)]
+    hidden = [b for b in range(256) if b not in visible]
+    return {b: b for b in visible} | {b: 256 + i for i, b in enumerate(hidden)}
+
+
 class ChunkEncoder:
     """Ids of texts, as bytes of little-endian 32-bit numbers. The tokenizer drops white space, so chunks between are encoded apart and remembered."""
 
@@ -50,8 +64,21 @@ class ChunkEncoder:
 
         self.tokenizer = Tokenizer.from_str(model)
         self.tokenizer.encode_special_tokens = True
+        self.merged, self.spelt = self.tokenizer.model.tokenize, byte_characters()
         self.cache: dict[str, bytes] = {}
 
+    def _chunks(self, chunks: list[str]) -> dict[str, bytes]:
+        out, others = {}, []
+        for chunk in chunks:
+            if SIMPLE(chunk):
+                words = [w if w.isascii() else w.encode().decode("latin-1").translate(self.spelt) for w in PARTS(chunk.lower())]
+                out[chunk] = array("I", [t.id for w in words for t in self.merged(w)]).tobytes()
+            else:
+                others.append(chunk)
+        if others:
+            out.update(zip(others, self._encode(others), strict=True))
+        return out
+
     def _encode(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [array("I", x.ids).tobytes() for x in found]
@@ -63,7 +90,7 @@ class ChunkEncoder:
         new = list({c for c in chunks if c not in cache})
         if not new:
             return b"".join(map(cache.__getitem__, chunks))
-        fresh = dict(zip(new, self._encode(new), strict=True))
+        fresh = self._chunks(new)
         out = b"".join([cache[c] if c in cache else fresh[c] for c in chunks])
         if len(cache) > CACHED:
             cache.clear()

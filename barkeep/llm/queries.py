@@ -1,4 +1,4 @@
-"""The thin queries over the operators, one for each, and the SQL that says the same."""
+"""The thin queries over the operators, one for each."""
 
 from __future__ import annotations
 
@@ -8,10 +8,10 @@ from pyspark.sql import functions as F
 
 from barkeep.llm import bpe, embed_dedup, fingerprint, jaccard_join, packing, pii, quality, sharding, token_count, url_filter
 from barkeep.llm._util import table
+from barkeep.llm.oracles import LISTED_HOSTS, ORACLES, RULES
+
+__all__ = ["ORACLES", "QUERIES"]
 
-# Rules and listed hosts of the URL query.
-RULES = [("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/")]
-LISTED_HOSTS = ["ads-track", "spam-farm", "casino-win", "adult-x", "cheap-pills", "free-bets"]
 N_SHARDS = 40
 RANKS = "byte_bpe_50k.tiktoken"
 
@@ -92,5 +92,3 @@ def op10_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {q.__name__: q for q in (op1_byte_bpe, op2_embedding_dedup, op3_sharding, op4_quality, op5_jaccard_join, op6_url_filter, op7_fingerprint, op8_packing, op9_pii, op10_token_count)}
-
-ORACLES: dict[str, str] = {}

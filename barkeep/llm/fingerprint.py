@@ -39,11 +39,15 @@ def lanes(text: Column) -> Column:
     parts = paragraphs(text)
     sums = []
     for seed in range(LANES // _PER_HASH):
-        hashes = F.transform(parts, lambda p, seed=seed: F.xxhash64(p, F.lit(seed)))
+        hashes = _hashes(parts, seed)
         sums += [_lane_sum(hashes, i) for i in range(_PER_HASH)]
     return F.array(*sums)
 
 
+def _hashes(parts: Column, seed: int) -> Column:
+    return F.transform(parts, lambda p: F.xxhash64(p, F.lit(seed)))
+
+
 def _lane_sum(hashes: Column, i: int) -> Column:
     entry = lambda h: F.shiftrightunsigned(h, ENTRY_BITS * i).bitwiseAND(F.lit(_MASK)) * 2 - _MASK
     return F.pmod(F.aggregate(hashes, F.lit(0).cast("long"), lambda acc, h: acc + entry(h)), F.lit(1 << MODULUS_BITS))

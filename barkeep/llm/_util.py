@@ -36,6 +36,17 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Rows of an Arrow batch on its way to Python and back: whole texts are long.
+BATCH_ROWS = 1_000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bounds the Arrow batches of this session, so that a worker holds few texts at a time."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
 def long_table(spark: SparkSession, **columns: list[int]) -> DataFrame:
     """A small table of equally long lists of integers, as JVM-side literals."""
     names = list(columns)

@@ -27,6 +27,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, IntegerType, StructField, StructType
 
+from barkeep.llm._util import small_batches
+
 #: The character of byte b is chr(FIRST_CHAR + b); sentencepiece has no rule for these letters.
 FIRST_CHAR = 0x100
 #: A character that is no letter, number or space to any version of the tables.
@@ -158,6 +160,7 @@ def of_worker(model: bytes, pattern: str, newer: str) -> ByteBpe:
 
 def for_workers(spark: SparkSession, ranks_path: str, pattern: str) -> Broadcast:
     """What of_worker needs, broadcast; as large as the vocabulary. The rank file is read by the driver only."""
+    small_batches(spark)
     return spark.sparkContext.broadcast((serialise(read_ranks(ranks_path)), pattern, newer_letters(pattern)))
 
 

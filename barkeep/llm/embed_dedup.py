@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from barkeep.llm._util import written
+from barkeep.llm._util import small_batches, written
 from barkeep.llm.components import components
 
 THRESHOLD = 0.98
@@ -252,6 +252,7 @@ def compared(made: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 
 def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, vec_id: str = "vec_id", embedding: str = "embedding", label: str = "label") -> DataFrame:
     """(vec_id, n_links, component_id, kept) for every row of ``vectors``."""
+    small_batches(vectors.sparkSession)
     vectors = vectors.select(F.col(vec_id).alias("vec_id"), F.col(label).alias("label"), F.col(embedding).alias("embedding"))
     rows = usable(vectors)
     groups = rows.groupBy("label", "values").agg(F.min("vec_id").alias("rep"), F.count("*").alias("weight"))

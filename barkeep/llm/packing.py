@@ -31,11 +31,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from barkeep.llm._util import long_table, written
+from barkeep.llm._util import long_table, small_batches, written
 
 CAPACITY, END = 4096, 1
-#: Chunks between white space whose ids a worker remembers, and the longest of them.
-CACHED, CACHED_LENGTH = 400_000, 40
+#: Chunks between white space in each of two generations that a worker remembers, and the longest of them.
+CACHED, CACHED_LENGTH = 120_000, 40
 #: Pieces of a length that one task ranks, about; ranks are joined in blocks of BLOCK.
 CELL_ROWS, BLOCK = 20_000, 64
 #: White space to Python's split() alone; a text that holds one of these is encoded whole.
@@ -65,7 +65,8 @@ class ChunkEncoder:
         self.tokenizer = Tokenizer.from_str(model)
         self.tokenizer.encode_special_tokens = True
         self.merged, self.spelt = self.tokenizer.model.tokenize, byte_characters()
-        self.cache: dict[str, bytes] = {}
+        self.cache: dict[str, bytes] = {}  # the younger generation
+        self.older: dict[str, bytes] = {}
 
     def _chunks(self, chunks: list[str]) -> dict[str, bytes]:
         out, others = {}, []
@@ -90,11 +91,13 @@ class ChunkEncoder:
         new = list({c for c in chunks if c not in cache})
         if not new:
             return b"".join(map(cache.__getitem__, chunks))
-        fresh = self._chunks(new)
+        older = self.older
+        fresh = {c: older[c] for c in new if c in older}
+        fresh.update(self._chunks([c for c in new if c not in older]))
         out = b"".join([cache[c] if c in cache else fresh[c] for c in chunks])
         if len(cache) > CACHED:
-            cache.clear()
-        cache.update((c, i) for c, i in fresh.items() if len(c) <= CACHED_LENGTH)
+            self.older, self.cache = cache, {}
+        self.cache.update((c, i) for c, i in fresh.items() if len(c) <= CACHED_LENGTH)
         return out
 
 
@@ -111,6 +114,7 @@ def of_worker(model: str) -> ChunkEncoder:
 
 def pieces(docs: DataFrame, model_path: str, doc_id: str = "doc_id", text: str = "text", capacity: int = CAPACITY) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32): the pieces of each document."""
+    small_batches(docs.sparkSession)
     with open(model_path) as f:
         model = docs.sparkSession.sparkContext.broadcast(f.read())  # as large as the vocabulary
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))

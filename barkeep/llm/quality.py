@@ -24,6 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from barkeep.llm._text import mixed, n_grams, word_groups
+from barkeep.llm._util import small_batches
 
 BITS = 18
 MAX_LABELLED, LEARNERS, EPOCHS = 16_384, 8, 3
@@ -104,6 +105,7 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
 
 def score(docs: DataFrame, weights: np.ndarray, text: str = "text", to: str = "score") -> DataFrame:
     """``docs`` with the probability of label 1 in the column ``to``, which replaces one of that name."""
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(weights)  # 2**BITS doubles
     docs = docs.drop(to)
     text_at = docs.columns.index(text)

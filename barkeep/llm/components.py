@@ -2,12 +2,12 @@
 
 Both operations are one grouping each; the number of rounds grows with the logarithm of a
 component's size. Every round is written to the shared folder, so a lost executor costs one
-round at most. Links never reach the driver: only their count and a checksum do.
+round at most. Links never reach the driver: only whether they are flat does.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from barkeep.llm._util import written
@@ -21,13 +21,18 @@ def _star(links: DataFrame, large: bool) -> DataFrame:
     """
     if large:
         around = links.union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = around.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("least"))
-        out = around.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("least").alias("b"))
-    else:
-        least = links.groupBy("a").agg(F.min("b").alias("least"))
-        out = links.join(least, "a").select(F.col("b").alias("a"), F.col("least").alias("b")).where("a <> b")
-        out = out.union(least.select("a", F.col("least").alias("b")))
-    return out.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+        least = around.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("least"))
+        return around.join(least, "a").where("b > a").select(F.greatest("b", "least").alias("a"), F.least("b", "least").alias("b")).where("a <> b")
+    least = links.groupBy("a").agg(F.min("b").alias("least"))
+    out = links.join(least, "a").select(F.col("b").alias("a"), F.col("least").alias("b"))
+    return out.union(least.select("a", F.col("least").alias("b"))).where("a <> b").distinct()
+
+
+def _is_flat(links: DataFrame) -> bool:
+    """Whether every node with a link down has one only, and it leads to a node without any."""
+    ends = links.select(F.col("a").alias("id"), F.lit(1).alias("down"), F.lit(0).alias("up")).union(links.select("b", F.lit(0), F.lit(1)))
+    nodes = ends.groupBy("id").agg(F.sum("down").alias("down"), F.max("up").alias("up"))
+    return not nodes.agg(F.max((F.col("down") > 1) | ((F.col("down") > 0) & (F.col("up") > 0)))).first()[0]
 
 
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -35,13 +40,9 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
 
     Links of a node to itself and null ends are ignored; without links there are no rows.
     """
-    now = links.select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).where("a is not null and b is not null and a <> b").distinct()
-    now, last = written(now, "links"), None
-    while True:
+    now = links.select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).where("a is not null and b is not null and a <> b")
+    now = written(now.distinct(), "links")
+    while not _is_flat(now):
         now = written(_star(_star(now, large=True), large=False), "links")
-        state = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if state == last or not state[0]:
-            break
-        last = state
     roots = now.select(F.col("b").alias("id"), F.col("b").alias("component_id")).distinct()
     return now.select(F.col("a").alias("id"), F.col("b").alias("component_id")).union(roots)

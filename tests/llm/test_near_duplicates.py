@@ -150,7 +150,7 @@ def test_pairs_across_components_are_found(spark, monkeypatch):
     monkeypatch.setattr(jaccard_join, "verified", second_only)
     monkeypatch.setattr(jaccard_join, "CHUNK", 7)
     found = jaccard_join.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
-    assert len(calls) == 2 and {r["component_id"] for r in found} == {0}
+    assert len(calls) > 2 and {r["component_id"] for r in found} == {0}
 
 
 def test_odd_documents(spark, odd_docs, odd_rows, no_docs):

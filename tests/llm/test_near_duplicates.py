@@ -153,6 +153,31 @@ def test_pairs_across_components_are_found(spark, monkeypatch):
     assert len(calls) > 2 and {r["component_id"] for r in found} == {0}
 
 
+def chains(seeds):
+    """For each seed documents A < B < C with C within 0.8 of both others, which are under 0.8 of each other. Sets fill their band, so often all parts differ."""
+    rows = []
+    for seed in seeds:
+        rnd = random.Random(seed)
+        size = rnd.choice([7, 15, 31, 63])
+        words, n = [f"s{seed}w{rnd.randrange(10**9)}" for _ in range(size + 4)], size // 5
+        rows += [(3 * seed, words[n:]), (3 * seed + 1, words[:-n]), (3 * seed + 2, words)]
+    return [(i, " ".join(words)) for i, words in rows]
+
+
+def test_links_that_meet_in_groups_of_two(spark):
+    rows = chains(range(400))
+    found = jaccard_join.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(map(tuple, found), key=str) == brute_documents(rows)
+
+
+def test_no_pair_of_two_is_left_out(spark):
+    """A set whose star goes to one leader is still verified against the leader of its other group."""
+    groups = spark.createDataFrame([(1, [3]), (2, [3]), (1, [3]), (4, [5, 6]), (7, [6])], "leader long, members array<long>")
+    assert {tuple(r) for r in jaccard_join.pairs_left(groups).collect()} == {(2, 3), (7, 6)}
+    joined = spark.createDataFrame([(2, 1), (3, 1), (6, 4)], "id long, component_id long")
+    assert {tuple(r) for r in jaccard_join.apart(jaccard_join.pairs_left(groups), joined).collect()} == {(7, 6)}
+
+
 def test_odd_documents(spark, odd_docs, odd_rows, no_docs):
     found = jaccard_join.near_duplicates(odd_docs.withColumnRenamed("source", "component_id")).collect()
     assert sorted(map(tuple, found), key=str) == brute_documents(odd_rows)

@@ -1,11 +1,12 @@
 """Document fingerprints: a homomorphic multiset hash of paragraphs.
 
 A paragraph (a line of the text) is hashed to a wide vector of LANES small signed entries. A
-document's fingerprint is the sum of its paragraphs' vectors, each lane modulo 2**16. So it
+document's fingerprint is the sum of its paragraphs' vectors, each lane modulo 2**36. So it
 does not depend on the order of the paragraphs, paragraphs are inserted or deleted by adding
 or subtracting their vectors (``combined``), and equal texts have equal fingerprints. As the
 entries have mean zero, the cosine of two fingerprints estimates the cosine of the two multisets
-of paragraphs, which serves as likeness.
+of paragraphs, which serves as likeness. A text has 2**31 paragraphs at most, so a lane is within
+15 * 2**31 < 2**35 of 0 and read as a signed number it is the exact sum, however long the text.
 
 Defined results: a null text counts as empty and is one empty paragraph; ids may repeat (the
 rows of an id are then ordered by text), a null id comes last in descending order; the next
@@ -19,8 +20,8 @@ from pyspark.sql import functions as F
 
 #: Entries of a vector; an entry takes 4 bits of a hash: the odd numbers from -15 to 15.
 LANES, ENTRY_BITS = 64, 4
-#: Lanes are kept modulo 2**MODULUS_BITS.
-MODULUS_BITS = 16
+#: Lanes are kept modulo 2**MODULUS_BITS, which the sum of no text can wrap.
+MODULUS_BITS = 36
 #: Neighbours are found within ranges of ids of about so many rows, made from so many quantiles.
 RANGE_ROWS, QUANTILES = 2_000, 256
 #: The table of ranges is broadcast up to this number of parts of a quantile (24 bytes for each part and quantile).

@@ -101,6 +101,14 @@ def test_likeness(spark):
     assert same == 1 and 0.5 < most < 1 and 0.2 < half < most and none < 0.45
 
 
+def test_likeness_of_very_long_texts(spark):
+    """Lanes of thousands of equal lines don't wrap: the cosine of multisets of equal lines is 1, whatever their numbers."""
+    pairs = [("x\n" * 9_999 + "x", "x\n" * 6_665 + "x"), ("x\n" * 300_000 + "x", "x"), ("x\n" * 9_999 + "x", "y\n" * 9_999 + "y"), ("x", "y")]
+    df = spark.createDataFrame(pairs, "a string, b string").select(fingerprint.likeness(fingerprint.lanes(F.col("a")), fingerprint.lanes(F.col("b"))))
+    edited, one, long_other, other = [r[0] for r in df.collect()]
+    assert edited == pytest.approx(1) and one == pytest.approx(1) and long_other == pytest.approx(other)
+
+
 @pytest.mark.parametrize(("range_rows", "quantiles"), [(2000, 256), (1, 4)])
 def test_neighbours(spark, monkeypatch, range_rows, quantiles):
     monkeypatch.setattr(fingerprint, "RANGE_ROWS", range_rows)

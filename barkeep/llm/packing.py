@@ -10,8 +10,11 @@ executors) and yield ranges of ranks: pieces ``first`` to ``last`` of a length g
 from ``sequence`` on, at ``offset``. Spark ranks the pieces within their length, in cells so
 that no length lands in one task, and joins the ranks with the ranges.
 
-The number of ranges follows the number of pairs of classes that meet, not the number of
-documents, so what passes the driver is bounded by the capacity.
+Sweeps, matching and updates of gaps run in one Python loop on the driver (``best_fit``), over
+counts of classes, not as distributed sweeps. A length splits at most one entry of gaps and opens
+at most two, so there are 2 * CAPACITY entries at the most, and a range fills a place in the
+sequences of one of them: no more than 2 * CAPACITY**2 ranges (33.5 million), whatever the number
+of documents. Mixes that were tried gave up to 69,841.
 
 Defined results: a null text is the empty text and, as any other, ends with END, so it is one
 piece of one token; a document longer than the capacity is cut into full pieces and a rest;

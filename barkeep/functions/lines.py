@@ -32,6 +32,22 @@ def symbol_from_path(path: Column) -> Column:
     return F.regexp_replace(F.regexp_extract(path, r"([^/]+)\.csv$", 1), "_fr$", "")
 
 
+def decoded(path: Column) -> Column:
+    """A path as Spark's metadata spells it, without percent signs for other characters."""
+    return F.url_decode(F.regexp_replace(path, r"\+", "%2B"))
+
+
+def symbol_of_file(path: Column) -> Column:
+    """The symbol of a file's path in Spark's metadata: of its folder ``symbol=...``, else of its name."""
+    folder = F.regexp_extract(decoded(path), "/symbol=([^/]+)/", 1)
+    return F.when(folder != "", decoded(folder)).otherwise(symbol_from_path(decoded(path)))
+
+
+def file_of_folder(path: Column) -> Column:
+    """The name of a file that is kept as a folder ``file=...``."""
+    return decoded(F.regexp_extract(decoded(path), "/file=([^/]+)/", 1))
+
+
 def batch_name(number: Column) -> Column:
     return F.concat(F.lit("batch_"), F.lpad(number.cast("string"), 5, "0"))
 

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,6 +13,7 @@ from barkeep.plans import bindings as b
 from barkeep.plans import fetch
 from barkeep.plans.rules import LineRule, line_rule_table
 from barkeep.sources import files, sinks
+from barkeep.sources.shared import scratch
 
 RULE = LineRule(6, salvage=True, interval_ms=times.HOUR)
 FLOOR = 1420070400000
@@ -37,29 +37,40 @@ def _last_prices(s: SparkSession, d: str) -> DataFrame:
 # Scans
 
 
+# The inputs are written as the files that are scanned, below the shared folder.
+
+
 @registered
 def scan_candles(s: SparkSession, d: str) -> DataFrame:
-    return b.bars(s, d).select("symbol", "open_time", "open", "high", "low", "close", "volume")
+    sinks.write_csv(b.bars(s, d), path := scratch(s, "candles"))
+    rows = files.scan_candles(s, path)
+    return rows.select("symbol", "open_time", *[F.col(c).cast("long").alias(c) for c in ("open", "high", "low", "close", "volume")])
 
 
 @registered
 def scan_funding(s: SparkSession, d: str) -> DataFrame:
-    return b.funding(s, d)[0].select("symbol", F.col("ts").alias("funding_time"), F.col("rate").alias("funding_rate"))
+    stored = b.funding(s, d)[0].select("symbol", F.col("ts").alias("funding_time"), F.col("rate").alias("funding_rate"))
+    sinks.write_csv(stored, path := scratch(s, "funding"), "funding_time")
+    return files.scan_funding(s, path).withColumn("funding_rate", F.col("funding_rate").cast("long"))
 
 
 @registered
 def scan_raw_lines(s: SparkSession, d: str) -> DataFrame:
-    return b.raw_lines(s, d)
+    sinks.write_lines(b.raw_lines(s, d).withColumnRenamed("value", "line"), path := scratch(s, "lines"))
+    return files.scan_raw_lines(s, path).select(lines.file_of_folder(F.col("file")).alias("file"), "line_no", "value")
 
 
 @registered
 def scan_symbols_file(s: SparkSession, d: str) -> DataFrame:
-    return b.requested(s, d)
+    b.requested(s, d).write.option("header", True).csv(path := scratch(s, "symbols"))
+    return files.scan_symbols_file(s, path)
 
 
 @registered
 def scan_instruments(s: SparkSession, d: str) -> DataFrame:
-    return b.instruments(s, d).withColumn("tags", F.array_join("tags", "|"))
+    b.instruments(s, d).write.json(path := scratch(s, "instruments"))
+    rows = files.scan_instruments(s, path).select(*b.instruments(s, d).columns)
+    return rows.withColumn("tags", F.array_join("tags", "|"))
 
 
 @registered
@@ -382,7 +393,7 @@ def recover_batches(s: SparkSession, d: str) -> DataFrame:
 @registered
 def manifest_prune(s: SparkSession, d: str) -> DataFrame:
     listed = files.flatten_manifest(b.manifest(s, d))
-    kinds = reduce(DataFrame.unionByName, [listed.select(F.lit(k).alias("kind"), "symbol", "date_ts") for k in fetch.SPANS])
+    kinds = listed.select(F.explode(F.array(*map(F.lit, fetch.SPANS))).alias("kind"), "symbol", "date_ts")
     resume = b.ticks(s, d).groupBy("symbol").agg((F.min("ts_ms") + 20 * times.DAY).alias("last_ts")).where("symbol <> 'click'")
     return fetch.prune_manifest(kinds, resume)
 

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+import re
+from functools import reduce
+from urllib.parse import unquote
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from barkeep.functions.lines import symbol_from_path
+from barkeep.functions.lines import cleaned as lines_cleaned
+from barkeep.functions.lines import decoded, symbol_of_file
 
 # The columns of each layout, in the order of the files.
 LAYOUTS = {
@@ -18,32 +23,83 @@ LAYOUTS = {
 }
 INSTRUMENTS = "exchange string, symbol string, name string, inst_family string, contract_type string, quote_asset string, settle_asset string, status string, is_trading boolean, list_time long, delivery_time long, tags array<string>"
 CORRUPT = "_corrupt"
+SCHEME = re.compile("[A-Za-z][A-Za-z0-9+.-]*:").match
+
+
+def _file() -> Column:
+    return F.col("_metadata.file_path").alias("file")
+
+
+def headers(spark: SparkSession, path: str | list[str]) -> dict[str, list[str]]:
+    """The files of each header line. Files without any byte have none and are left out.
+
+    The driver gets one path for each file, as it does when Spark lists them.
+    """
+    lines = spark.read.option("lineSep", "\n").text(path).select(_file(), "value", F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("id"))
+    first = lines.where("block = 0").groupBy("file").agg(F.min_by("value", "id").alias("header"))
+    rows = first.groupBy(F.regexp_replace(lines_cleaned(F.col("header")), "^\ufeff", "").alias("header")).agg(F.collect_list("file").alias("files")).collect()
+    return {r["header"]: sorted(map(unquote, r["files"])) for r in sorted(rows)}
+
+
+def _by_name(spark: SparkSession, path: str | list[str], layout: str, wanted: tuple[str, ...]) -> DataFrame:
+    """(file, wanted columns, is_corrupt) of delimited files whose headers name the columns, in any order and with others between.
+
+    A line that doesn't parse is kept and marked; a file that lacks a wanted column fails the scan.
+    """
+    kinds = dict(c.strip().split(" ", 1) for c in re.split(r",(?![^(]*\))", LAYOUTS[layout]))
+    parts = []
+    for header, files in headers(spark, path).items():
+        names = [n.strip() for n in header.split(",")]
+        if lacking := [c for c in wanted if c not in names]:
+            raise ValueError(f"no column {', '.join(lacking)} in {files[0]} and {len(files) - 1} other files")
+        plain = [n if n in wanted else f"other_{i}" for i, n in enumerate(names)]
+        schema = ", ".join(f"`{c}` {kinds[c] if c in wanted else 'string'}" for c in plain)
+        rows = spark.read.schema(f"{schema}, {CORRUPT} string").option("header", True).option("columnNameOfCorruptRecord", CORRUPT).csv(files)
+        parts.append(rows.select(_file(), *wanted, F.col(CORRUPT).isNotNull().alias("is_corrupt")))
+    if not parts:
+        return spark.createDataFrame([], f"file string, {', '.join(f'{c} {kinds[c]}' for c in wanted)}, is_corrupt boolean")
+    return reduce(DataFrame.unionByName, parts)
 
 
 def scan_candles(spark: SparkSession, path: str, layout: str = "bars_6") -> DataFrame:
-    """(symbol, open_time, open, high, low, close, volume, is_corrupt): the columns that all layouts have. A line that doesn't parse is kept and marked."""
-    rows = spark.read.schema(f"{LAYOUTS[layout]}, {CORRUPT} string").option("header", True).option("columnNameOfCorruptRecord", CORRUPT).csv(path)
-    opened = F.col("timestamp" if layout == "bars_12" else "open_time").alias("open_time")
-    symbol = symbol_from_path(F.col("_metadata.file_path")).alias("symbol")
-    return rows.select(symbol, opened, "open", "high", "low", "close", "volume", F.col(CORRUPT).isNotNull().alias("is_corrupt"))
+    """(symbol, open_time, open, high, low, close, volume, is_corrupt): the columns that all layouts have, by the names in each file's header."""
+    opened = "timestamp" if layout == "bars_12" else "open_time"
+    rows = _by_name(spark, path, layout, (opened, "open", "high", "low", "close", "volume"))
+    return rows.select(symbol_of_file(F.col("file")).alias("symbol"), F.col(opened).alias("open_time"), "open", "high", "low", "close", "volume", "is_corrupt")
 
 
 def scan_funding(spark: SparkSession, path: str) -> DataFrame:
-    """(symbol, funding_time, funding_rate)."""
-    rows = spark.read.schema(LAYOUTS["funding"]).option("header", True).csv(path)
-    return rows.select(symbol_from_path(F.col("_metadata.file_path")).alias("symbol"), "funding_time", "funding_rate")
+    """(symbol, funding_time, funding_rate), by the names in each file's header."""
+    rows = _by_name(spark, path, "funding", ("funding_time", "funding_rate"))
+    return rows.select(symbol_of_file(F.col("file")).alias("symbol"), "funding_time", "funding_rate")
+
+
+def list_files(spark: SparkSession, path: str) -> DataFrame:
+    """(file, file_size) of all files that hold a byte, also of unreadable ones; their content is not read. Spark leaves empty files out."""
+    return spark.read.format("binaryFile").load(path).select(_file(), F.col("length").alias("file_size"))
 
 
-def scan_raw_lines(spark: SparkSession, path: str) -> DataFrame:
+def with_read_failed(listed: DataFrame, raw: DataFrame) -> DataFrame:
+    """``listed`` (file, file_size) with read_failed: the file has bytes, but no line of it could be read."""
+    read = raw.select("file").distinct().withColumn("was_read", F.lit(True))
+    return listed.join(read, "file", "left").withColumn("read_failed", F.col("was_read").isNull() & (F.col("file_size") > 0)).drop("was_read")
+
+
+def scan_raw_lines(spark: SparkSession, path: str, skip_unreadable: bool = False) -> DataFrame:
     """(file, file_size, line_no, value, terminated): the lines of each file in their order, from 1.
 
-    A file may be read in several splits; blocks are ordered by their offset and lines within by
-    the reader's running id. Files without any byte yield no row: join the list of files to have them back.
+    A file is read in several splits. Lines are numbered within their split and the lines of the splits
+    before are added, so no file is one task's burden. Files without any byte, and with
+    skip_unreadable those that can't be read, yield no row: ``list_files`` and ``with_read_failed`` tell the latter.
     """
-    lines = spark.read.option("lineSep", "\n").text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_size").alias("file_size"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("id"))
-    order = Window.partitionBy("file").orderBy("block", "id")
+    read = spark.read.option("lineSep", "\n").option("ignoreCorruptFiles", skip_unreadable).text(path)
+    lines = read.select("value", _file(), F.col("_metadata.file_size").alias("file_size"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("id"))
+    blocks = lines.groupBy("file", "block").agg(F.count("*").alias("n"), F.sum(F.octet_length("value") + 1).alias("bytes"))
+    earlier = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy("file")
-    numbered = lines.withColumns({"line_no": F.row_number().over(order).cast("long"), "n": F.count("*").over(whole), "bytes": F.sum(F.octet_length("value") + 1).over(whole)})
+    blocks = blocks.select("file", "block", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"), F.sum("n").over(whole).alias("n"), F.sum("bytes").over(whole).alias("bytes"))
+    inner = F.row_number().over(Window.partitionBy("file", "block").orderBy("id"))
+    numbered = lines.withColumn("inner", inner).join(blocks, ["file", "block"]).withColumn("line_no", (F.col("before") + F.col("inner")).cast("long"))
     ended = ~((F.col("line_no") == F.col("n")) & (F.col("bytes") == F.col("file_size") + 1))
     return numbered.select("file", "file_size", "line_no", "value", ended.alias("terminated"))
 
@@ -68,10 +124,20 @@ def flatten_manifest(manifest: DataFrame) -> DataFrame:
 
 
 def scan_archives(spark: SparkSession, paths: list[str], layout: str = "bars_6") -> DataFrame:
-    """The rows of selected archives, plain or gzip, with file_no in the order of ``paths``."""
-    number = F.create_map(*[F.lit(x) for i, p in enumerate(paths) for x in (p.rsplit("/", 1)[-1], i)])
-    rows = spark.read.schema(LAYOUTS[layout]).option("header", True).csv(paths)
-    return rows.withColumn("file_no", number[F.col("_metadata.file_name")])
+    """The rows of selected archives, plain or gzip, with file_no in the order of ``paths``; their columns go by position, as archives may lack a header's names.
+
+    All paths have a scheme, or none has.
+    """
+    with_scheme = {bool(SCHEME(p)) for p in paths}
+    if len(with_scheme) > 1:
+        raise ValueError("archives with and without a scheme in their paths")
+    rows = spark.read.schema(LAYOUTS[layout]).option("header", True).csv(paths).withColumn("file", F.col("_metadata.file_path"))
+    if with_scheme == {True}:
+        own, keys = F.regexp_replace(decoded(F.col("file")), "^([A-Za-z][A-Za-z0-9+.-]*):/+", "$1:/"), [re.sub("^([A-Za-z][A-Za-z0-9+.-]*):/+", r"\1:/", p) for p in paths]
+    else:
+        own, keys = F.regexp_replace(decoded(F.col("file")), "^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?", ""), list(paths)
+    numbers = spark.createDataFrame(list(zip(keys, range(len(keys)), strict=True)), "key string, file_no int")
+    return rows.withColumn("key", own).join(numbers, "key").drop("key", "file")
 
 
 def store_inventory(store: DataFrame) -> DataFrame:

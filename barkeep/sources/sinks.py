@@ -17,14 +17,15 @@ def replace_partitions(rows: DataFrame, path: str, by: tuple[str, ...] = ("symbo
     out.partitionBy(*by).parquet(path)
 
 
-def write_csv(rows: DataFrame, path: str) -> None:
+def write_csv(rows: DataFrame, path: str, time: str = "open_time") -> None:
     """One folder of text per symbol, with a header in each file."""
-    rows.repartition("symbol").sortWithinPartitions("symbol", "open_time").write.partitionBy("symbol").option("header", True).csv(path)
+    rows.repartition("symbol").sortWithinPartitions("symbol", time).write.partitionBy("symbol").option("header", True).csv(path)
 
 
 def write_lines(rows: DataFrame, path: str) -> None:
-    """Repaired files: (file, line_no, line) as text, one folder per file, lines in order."""
-    rows.repartition("file").sortWithinPartitions("file", "line_no").select("file", F.col("line").alias("value")).write.partitionBy("file").text(path)
+    """(file, line_no, line) as text, one folder ``file=...`` per file, lines in order. Folders that exist are replaced, others stay; ``rows`` must not be read from ``path``."""
+    ordered = rows.repartition("file").sortWithinPartitions("file", "line_no").select("file", F.col("line").alias("value"))
+    ordered.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("file").text(path)
 
 
 def fixed_scale(price: str, volume: str) -> tuple:

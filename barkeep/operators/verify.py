@@ -6,13 +6,16 @@ flags are windows over the file; they spill, and files are independent.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from barkeep.functions import lines
 from barkeep.functions.times import minute_text
 from barkeep.plans.rules import LineRule
 
+#: Lines of a file that one task orders.
+BLOCK_LINES = 500_000
+
 
 def clean_lines(raw: DataFrame) -> DataFrame:
     """(file, line_no, value) without carriage returns at the end and without empty lines; the header stays."""
@@ -41,9 +44,17 @@ def parsed(raw: DataFrame, rule: LineRule, skip_header: bool = True) -> DataFram
 
 
 def out_of_order(rows: DataFrame) -> DataFrame:
-    """Accepted lines with out_of_order: their time is before that of the accepted line above."""
-    above = F.lag("ts").over(Window.partitionBy("file").orderBy("line_no"))
-    return rows.where("accepted").withColumn("out_of_order", F.coalesce(F.col("ts") < above, F.lit(False)))
+    """Accepted lines with out_of_order: their time is before that of the accepted line above.
+
+    Files are cut into blocks of BLOCK_LINES lines; the last line of a block is handed to the next
+    one that has any, so no file is one task's burden.
+    """
+    rows = rows.where("accepted").withColumn("block", F.expr(f"line_no div {BLOCK_LINES}"))
+    lasts = rows.groupBy("file", "block").agg(F.max_by("ts", "line_no").alias("last"))
+    lasts = lasts.select("file", "block", F.lag("last").over(Window.partitionBy("file").orderBy("block")).alias("seam"))
+    above = F.lag("ts").over(Window.partitionBy("file", "block").orderBy("line_no"))
+    rows = rows.withColumn("above", above).join(lasts, ["file", "block"])
+    return rows.withColumn("out_of_order", F.coalesce(F.col("ts") < F.coalesce("above", "seam"), F.lit(False))).drop("block", "above", "seam")
 
 
 def with_duplicates(rows: DataFrame) -> DataFrame:
@@ -66,12 +77,17 @@ def gaps(unique: DataFrame, interval_ms: int, key: str = "file", ts: str = "ts")
     return rows.select(key, "prev_ts", ts, "delta", F.greatest(F.expr(f"delta div {interval_ms}") - 1, F.lit(0)).alias("missing"))
 
 
+def _gap(interval_ms: int) -> tuple[Column, Column]:
+    """Whether delta is a gap, and the bars that it misses."""
+    is_gap = (F.col("delta") != interval_ms) if interval_ms else F.lit(False)
+    step = max(interval_ms, 1)
+    return is_gap, F.when(is_gap & (F.col("delta") > step), F.expr(f"delta div {step}") - 1).otherwise(0)
+
+
 def gap_stats(unique: DataFrame, interval_ms: int, key: str = "file", ts: str = "ts") -> DataFrame:
     """(key, n_rows, gaps, missing_bars, first_gap_ts) for every key."""
+    is_gap, missing = _gap(interval_ms)
     rows = with_deltas(unique, key, ts)
-    is_gap = (F.col("delta") != interval_ms) if interval_ms else F.lit(False)
-    step = max(interval_ms, 1)
-    missing = F.when(is_gap & (F.col("delta") > step), F.expr(f"delta div {step}") - 1).otherwise(0)
     return rows.groupBy(key).agg(F.count("*").alias("n_rows"), F.count_if(is_gap).alias("gaps"), F.sum(missing).alias("missing_bars"), F.min(F.when(is_gap, F.col("prev_ts"))).alias("first_gap_ts"))
 
 
@@ -81,21 +97,30 @@ def file_report(raw: DataFrame, rule: LineRule, files: DataFrame | None = None)
     total_records counts accepted lines, repeats included.
     """
     rows = parsed(raw, rule)
-    lines_of = rows.groupBy("file").agg(F.count_if("accepted").alias("total_records"), F.count_if(~F.col("accepted")).alias("malformed"), F.count_if("salvaged").alias("salvaged"))
+    times = rows.groupBy("file", F.when(F.col("accepted"), F.col("ts")).alias("ts")).agg(F.count("*").alias("n"), F.count_if("salvaged").alias("salvaged"))  # partial sums first, so many copies are no burden
+    is_time = F.col("ts").isNotNull()
+    before = F.lag("ts").over(Window.partitionBy("file").orderBy(F.col("ts").asc_nulls_first()))
+    times = times.withColumn("prev_ts", F.when(is_time, before)).withColumn("delta", F.col("ts") - F.col("prev_ts"))
+    is_gap, missing = _gap(rule.interval_ms)
+    counted = times.groupBy("file").agg(
+        F.sum(F.when(is_time, F.col("n"))).alias("total_records"), F.sum(F.when(~is_time, F.col("n"))).alias("malformed"), F.sum("salvaged").alias("salvaged"),
+        F.sum(F.when(is_time, F.col("n") - 1)).alias("duplicates"), F.count_if(is_gap).alias("gaps"), F.sum(missing).alias("missing_bars"), F.min(F.when(is_gap, F.col("prev_ts"))).alias("first_gap_ts"),
+    )
     order = out_of_order(rows).groupBy("file").agg(F.count_if("out_of_order").alias("out_of_order"))
-    unique = rows.where("accepted").groupBy("file", "ts").agg(F.count("*").alias("copies"))  # partial sums first, so many copies are no burden
-    repeats = unique.groupBy("file").agg(F.sum(F.col("copies") - 1).alias("duplicates"))
-    found = gap_stats(unique, rule.interval_ms).select("file", "gaps", "missing_bars", "first_gap_ts")
     known = raw.select("file").distinct() if files is None else files
-    out = known
-    for part in (lines_of, order, repeats, found):
-        out = out.join(part, "file", "left")
+    out = known.join(counted, "file", "left").join(order, "file", "left")
     counters = ["total_records", "malformed", "salvaged", "duplicates", "out_of_order", "gaps", "missing_bars"]
     failed = F.coalesce("read_failed", F.lit(False)) if "read_failed" in out.columns else F.lit(False)
     out = out.select("file", *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in counters], "first_gap_ts", failed.alias("read_failed"))
     return out.withColumn("needs_repair", (F.col("malformed") + F.col("salvaged") + F.col("duplicates") + F.col("out_of_order")) > 0)
 
 
+def after_repair(report: DataFrame) -> DataFrame:
+    """The report with repaired, and total_records as they are after repair: one for each time."""
+    total = F.when(F.col("needs_repair"), F.col("total_records") - F.col("duplicates")).otherwise(F.col("total_records"))
+    return report.withColumns({"total_records": total, "repaired": F.col("needs_repair")})
+
+
 def summary(report: DataFrame) -> DataFrame:
     """(files_ok, files_with_issues)."""
     issue = F.col("needs_repair") | (F.col("gaps") > 0) | F.col("read_failed")
@@ -122,14 +147,14 @@ def canonical_header(raw: DataFrame, rule: LineRule) -> DataFrame:
     return clean_lines(raw).where("line_no = 1").select("file", (F.col("value") if rule.allow_more else cut).alias("header"))
 
 
-def repaired(raw: DataFrame, rule: LineRule) -> DataFrame:
-    """(file, line_no, line) of the files that need repair: header, then one line per time in order of time."""
-    report = file_report(raw, rule).where("needs_repair").select("file")
+def repaired(raw: DataFrame, rule: LineRule, report: DataFrame | None = None) -> DataFrame:
+    """(file, line_no, line) of the files that need repair, by their report if there is one: header, then one line per time in order of time."""
+    dirty = (file_report(raw, rule) if report is None else report).where("needs_repair").select("file")
+    raw = raw.join(dirty, "file", "left_semi")
     body = with_duplicates(parsed(raw, rule)).where("is_first").select("file", "ts", "line")
     head = canonical_header(raw, rule).select("file", F.lit(None).cast("long").alias("ts"), F.col("header").alias("line"))
-    rows = head.unionByName(body).join(report, "file", "left_semi")
     order = Window.partitionBy("file").orderBy(F.col("ts").asc_nulls_first())
-    return rows.select("file", F.row_number().over(order).cast("long").alias("line_no"), "line")
+    return head.unionByName(body).select("file", F.row_number().over(order).cast("long").alias("line_no"), "line")
 
 
 def torn_tails(raw: DataFrame, rule: LineRule, floor: int) -> DataFrame:

@@ -133,9 +133,12 @@ def test_repair_is_idempotent(spark, tmp_path):
     rows = [bar(3), bar(1) + ",", "junk", bar(2), bar(2), bar(9) + ",5"]
     rule = LineRule(6, salvage=True, interval_ms=60_000)
     raw = landed(spark, tmp_path, "\n".join([HEAD + ",turnover", *rows]) + "\n")
-    once = jobs.repair_files(raw, rule).withColumnRenamed("line", "value")
+    fixed, told = jobs.repair_files(raw, rule)
+    once = fixed.withColumnRenamed("line", "value")
+    assert told.first()["repaired"] and told.first()["total_records"] == once.count() - 1 == 4
     assert not verify.file_report(once, rule).first()["needs_repair"]
-    assert sorted(map(tuple, jobs.repair_files(once, rule).collect())) == sorted(map(tuple, once.collect()))
+    again, told = jobs.repair_files(once, rule)
+    assert again.count() == 0 and not told.first()["repaired"]
     assert once.where("line_no = 1").first()["value"] == HEAD
 
 
@@ -157,3 +160,36 @@ def test_written_lines_come_back(spark, tmp_path):
     sinks.write_lines(fixed, str(tmp_path / "out"))
     written = [p.read_text() for p in (tmp_path / "out").rglob("part-*")]
     assert "".join(written) == "\n".join([HEAD, bar(0), bar(1)]) + "\n"
+
+
+def test_only_dirty_files_are_swapped(spark, tmp_path):
+    store = tmp_path / "store"
+    lines = [("clean", HEAD), ("clean", bar(0)), ("clean", bar(1)), ("a dirty+one", HEAD), ("a dirty+one", bar(1)), ("a dirty+one", bar(0)), ("a dirty+one", bar(0))]
+    sinks.write_lines(spark.createDataFrame([(f, i, v) for i, (f, v) in enumerate(lines)], "file string, line_no long, line string"), str(store))
+    before = {p: p.stat().st_mtime_ns for p in store.rglob("part-*") if "clean" in str(p)}
+    told = {r["file"]: r for r in jobs.repair_store(spark, str(store), SIX).collect()}
+    assert told["a dirty+one"]["repaired"] and told["a dirty+one"]["total_records"] == 2 and not told["clean"]["repaired"]
+    assert before and all(p.stat().st_mtime_ns == t for p, t in before.items())
+    report, _, verdict = jobs.verify_store(spark, str(store), SIX)
+    assert report.count() == 2 and not verdict.first()["any_unresolved"]
+    assert jobs.repair_store(spark, str(store), SIX).where("repaired").count() == 0
+
+
+def test_unreadable_files_are_told(spark, tmp_path):
+    """A file that is damaged is read_failed, a good one is not, and an empty one has no report."""
+    (tmp_path / "good.csv").write_text("\n".join([HEAD, bar(0)]) + "\n")
+    (tmp_path / "empty.csv").write_text("")
+    (tmp_path / "bad.csv.gz").write_bytes(b"\x1f\x8b not gzip at all")
+    report, summary, verdict = jobs.verify_store(spark, str(tmp_path), SIX)
+    found = {r["file"].rsplit("/", 1)[1]: r for r in report.collect()}
+    assert {f for f, r in found.items() if r["read_failed"]} == {"bad.csv.gz"} and len(found) == 2
+    assert verdict.first()["any_unresolved"] and tuple(summary.first()) == (1, 1)
+
+
+@pytest.mark.parametrize("block", [1, 2, 3, 500_000])
+def test_order_across_blocks(spark, tmp_path, monkeypatch, block):
+    """A line that goes back in time is found wherever its file is cut."""
+    monkeypatch.setattr(verify, "BLOCK_LINES", block)
+    raw = landed(spark, tmp_path, "\n".join([HEAD, bar(5), "junk", bar(3), bar(4), "junk", "junk", "junk", bar(2), bar(9)]) + "\n")
+    rows = verify.out_of_order(verify.parsed(raw, SIX)).where("out_of_order").collect()
+    assert sorted(r["line_no"] for r in rows) == [4, 9]

@@ -29,9 +29,11 @@ def sorted_bars(bars: DataFrame) -> DataFrame:
 
 
 def listing_dates(daily: DataFrame, symbols: DataFrame, now_ms: int) -> DataFrame:
-    """(symbol, listed): the first daily bar, or a day before now for symbols without any."""
+    """(symbol, listed): the first daily bar, or a day before now for symbols without any; ``symbols`` may have probe_failed, for which it is thirty days."""
     first = daily.groupBy("symbol").agg(F.min("open_time").alias("first"))
-    return symbols.join(first, "symbol", "left").select("symbol", F.coalesce("first", F.lit(now_ms - DAY)).alias("listed"))
+    failed = F.coalesce("probe_failed", F.lit(False)) if "probe_failed" in symbols.columns else F.lit(False)
+    listed = F.when(failed, F.lit(now_ms - 30 * DAY)).otherwise(F.coalesce("first", F.lit(now_ms - DAY)))
+    return symbols.join(first, "symbol", "left").select("symbol", listed.alias("listed"))
 
 
 def bootstrap(bars: DataFrame, now_ms: int, interval_ms: int, depth: int = 5000) -> DataFrame:

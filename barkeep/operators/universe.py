@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from barkeep.functions.lines import instrument_family
@@ -34,23 +32,27 @@ def with_family(instruments: DataFrame) -> DataFrame:
     return instruments.withColumn("family", instrument_family(F.col("symbol"), F.col("inst_family")))
 
 
-def resolve_requested(requested: DataFrame, instruments: DataFrame, keep_unknown: bool, delete_delisted: bool) -> DataFrame:
-    """(symbol, action): update, delete or drop for every requested symbol."""
+def _known(requested: DataFrame, instruments: DataFrame) -> DataFrame:
     known = instruments.select("symbol", F.col("is_trading"), F.lit(True).alias("is_known"))
-    rows = requested.join(known, "symbol", "left")
+    return requested.join(known, "symbol", "left")
+
+
+def _action(keep_unknown: bool, delete_delisted: bool) -> Column:
     gone = F.lit("delete" if delete_delisted else "update")
     unknown = F.lit("delete" if delete_delisted else "update" if keep_unknown else "drop")
-    return rows.select("symbol", F.when(F.col("is_known").isNull(), unknown).when(F.col("is_trading"), "update").otherwise(gone).alias("action"))
+    return F.when(F.col("is_known").isNull(), unknown).when(F.col("is_trading"), "update").otherwise(gone)
+
+
+def resolve_requested(requested: DataFrame, instruments: DataFrame, keep_unknown: bool, delete_delisted: bool) -> DataFrame:
+    """(symbol, action): update, delete or drop for every requested symbol."""
+    return _known(requested, instruments).select("symbol", _action(keep_unknown, delete_delisted).alias("action"))
 
 
 def resolve_everywhere(requested: DataFrame, instruments: DataFrame) -> DataFrame:
-    """(exchange, delete_delisted, symbol, action) under the rule of each exchange."""
-    parts = [
-        resolve_requested(requested, instruments, keep, delete).select(F.lit(exchange).alias("exchange"), F.lit(delete).alias("delete_delisted"), "symbol", "action")
-        for exchange, keep in KEEPS_UNKNOWN.items()
-        for delete in (False, True)
-    ]
-    return reduce(DataFrame.unionByName, parts)
+    """(exchange, delete_delisted, symbol, action) under the rule of each exchange, from one join."""
+    actions = [F.struct(F.lit(e).alias("exchange"), F.lit(d).alias("delete_delisted"), _action(keep, d).alias("action")) for e, keep in KEEPS_UNKNOWN.items() for d in (False, True)]
+    rows = _known(requested, instruments).select("symbol", F.explode(F.array(*actions)).alias("x"))
+    return rows.select("x.exchange", "x.delete_delisted", "symbol", "x.action")
 
 
 def delisted_on_disk(inventory: DataFrame, instruments: DataFrame, active_only: bool = False) -> DataFrame:

@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from barkeep.functions.times import DAY, MINUTE, last_completed_bar
 from barkeep.plans.rules import FETCHES, FLOORS
 
-#: How long an archive reaches from its date: it is kept if that may lie after the resume point.
+# How long an archive reaches from its date: it is kept if that may lie after the resume point.
 SPANS = {"daily": DAY, "monthly": 30 * DAY, "funding": 31 * DAY}
 #: Windows of archive requests; monthly ones are used up to RECENT before now.
 MONTHLY_WINDOW, DAILY_WINDOW, RECENT = 19 * 30 * DAY, 19 * DAY, 30 * DAY
@@ -25,27 +23,33 @@ def prune_manifest(archives: DataFrame, resume: DataFrame) -> DataFrame:
     return rows.where(F.col("last_ts").isNull() | (F.col("date_ts") + spans[F.col("kind")] > F.col("last_ts"))).drop("last_ts")
 
 
-def fetch_plan(resolved: DataFrame, exchange: str, now_ms: int, interval_ms: int) -> DataFrame:
-    """(symbol, start_ms, end_ms, nothing_new, future_bar) of (symbol, last_ts, is_trading, list_time, delivery_time); last_ts is null without history."""
+def _planned(exchange: str, now_ms: int, interval_ms: int) -> dict[str, Column]:
+    """start_ms, end_ms, nothing_new and future_bar of a row of ``resolved`` under the rule of an exchange."""
     start_by, end_by = FETCHES[exchange]
     last, now = F.coalesce("last_ts", F.lit(FLOORS[exchange])), F.lit(now_ms)
     completed = last_completed_bar(now, interval_ms)
-    listed = F.greatest(last, F.when(F.col("list_time") > 0, F.col("list_time")).otherwise(last))
     starts: dict[str, Column] = {
         "last": last,
-        "listing": listed,
+        "listing": F.greatest(last, F.when(F.col("list_time") > 0, F.col("list_time")).otherwise(last)),
         "bootstrap": F.coalesce("last_ts", F.lit(now_ms - FIRST_BARS * interval_ms)),
         "next_bar": last + interval_ms,
     }
     delivered = ~F.coalesce("is_trading", F.lit(True)) & (F.col("delivery_time") > 0)
     ends: dict[str, Column] = {"delivery": F.when(delivered, F.col("delivery_time")).otherwise(now - MINUTE), "now": now, "completed": completed}
-    rows = resolved.select("symbol", starts[start_by].alias("start_ms"), ends[end_by].alias("end_ms"), (last > completed).alias("future_bar"))
-    return rows.withColumn("nothing_new", F.col("start_ms") > F.col("end_ms"))
+    start, end = starts[start_by], ends[end_by]
+    return {"start_ms": start, "end_ms": end, "nothing_new": start > end, "future_bar": last > completed}
+
+
+def fetch_plan(resolved: DataFrame, exchange: str, now_ms: int, interval_ms: int) -> DataFrame:
+    """(symbol, start_ms, end_ms, nothing_new, future_bar) of (symbol, last_ts, is_trading, list_time, delivery_time); last_ts is null without history."""
+    return resolved.select("symbol", *[c.alias(n) for n, c in _planned(exchange, now_ms, interval_ms).items()])
 
 
 def fetch_plans(resolved: DataFrame, now_ms: int, interval_ms: int) -> DataFrame:
-    """The plans of all exchanges over one list of symbols."""
-    return reduce(DataFrame.unionByName, [fetch_plan(resolved, e, now_ms, interval_ms).withColumn("exchange", F.lit(e)) for e in FETCHES])
+    """The plans of all exchanges over one list of symbols, in one pass."""
+    plans = [F.struct(F.lit(e).alias("exchange"), *[c.alias(n) for n, c in _planned(e, now_ms, interval_ms).items()]) for e in FETCHES]
+    rows = resolved.select("symbol", F.explode(F.array(*plans)).alias("x"))
+    return rows.select("symbol", "x.start_ms", "x.end_ms", "x.nothing_new", "x.future_bar", "x.exchange")
 
 
 def chunk_ranges(plan: DataFrame, now_ms: int) -> DataFrame:

@@ -4,12 +4,15 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from barkeep.functions import lines
 from barkeep.operators import append, bars, universe, verify
 from barkeep.plans.fetch import fetch_plan
-from barkeep.plans.rules import FLOORS, KEEPS_UNKNOWN, LineRule
+from barkeep.plans.rules import APPENDS, FLOORS, KEEPS_UNKNOWN, LineRule
+from barkeep.sources import files, sinks
+from barkeep.sources.shared import scratch
 
 
 @dataclass(frozen=True)
@@ -23,14 +26,15 @@ class Update:
 
 
 def update_bars(incoming: DataFrame, store: DataFrame, instruments: DataFrame, requested: DataFrame, exchange: str, now_ms: int, interval_ms: int, delete_delisted: bool = False) -> Update:
-    """(symbol, ts, ...) rows of ``incoming``, with pos, against ``store``; only symbols that resolve to an update count."""
+    """(symbol, ts, ...) rows of ``incoming``, with pos, or file_no where archives come one by one, against ``store``; only symbols that resolve to an update count."""
     floor = FLOORS[exchange.split("_")[0]]
     keep = KEEPS_UNKNOWN.get(exchange, True)
     actions = universe.resolve_requested(requested, instruments, keep, delete_delisted)
     wanted = actions.where("action = 'update'").select("symbol")
     resolved = wanted.join(append.last_times(store), "symbol", "left").join(instruments.select("symbol", "is_trading", "list_time", "delivery_time"), "symbol", "left")
     plan = fetch_plan(resolved, exchange.split("_")[0], now_ms, interval_ms)
-    new = append.append_monotonic(incoming.join(wanted, "symbol", "left_semi"), store.select("symbol", "ts"), floor)
+    kinds = {"monotonic": append.append_monotonic, "static": append.append_static, "archives": append.append_archives}
+    new = kinds[APPENDS[exchange.split("_")[0]]](incoming.join(wanted, "symbol", "left_semi"), store.select("symbol", "ts"), floor)
     gone = universe.delete_set(instruments, store.select("symbol").distinct()) if delete_delisted else requested.limit(0)
     return Update(plan, new.repartition("symbol").sortWithinPartitions("symbol", "ts"), append.append_counts(new), universe.purged(store, gone))
 
@@ -41,17 +45,35 @@ def update_funding(bulk: DataFrame, recent: DataFrame, store: DataFrame, floor:
     return archived.unionByName(append.append_static(recent, store.select("symbol", "ts").unionByName(archived.select("symbol", "ts")), floor))
 
 
-def verify_files(raw: DataFrame, rule: LineRule, files: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+def verify_files(raw: DataFrame, rule: LineRule, listed: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(report, summary, verdict)."""
-    report = verify.file_report(raw, rule, files)
+    report = verify.file_report(raw, rule, listed)
     return report, verify.summary(report), verify.verdict(report)
 
 
-def repair_files(raw: DataFrame, rule: LineRule) -> DataFrame:
-    """The lines of all files after repair; files that need none are passed on as they are."""
-    fixed = verify.repaired(raw, rule)
-    whole = raw.join(fixed.select("file").distinct(), "file", "left_anti")
-    return fixed.unionByName(whole.select("file", "line_no", F.col("value").alias("line")))
+def verify_store(spark: SparkSession, path: str, rule: LineRule) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(report, summary, verdict) of all files below a path; files that can't be read have read_failed."""
+    raw = files.scan_raw_lines(spark, path, skip_unreadable=True)
+    return verify_files(raw, rule, files.with_read_failed(files.list_files(spark, path), raw))
+
+
+def repair_files(raw: DataFrame, rule: LineRule) -> tuple[DataFrame, DataFrame]:
+    """(lines, report): the lines of the files that need repair, after it, and the report of all files; clean files are not touched."""
+    report = verify.file_report(raw, rule)
+    return verify.repaired(raw, rule, report), verify.after_repair(report)
+
+
+def repair_store(spark: SparkSession, path: str, rule: LineRule) -> DataFrame:
+    """Repairs a store of lines, one folder ``file=...`` for each file, and returns the report.
+
+    The report and the repaired lines are first written to the shared folder; then only the folders of dirty files are swapped.
+    """
+    raw = files.scan_raw_lines(spark, path).withColumn("file", lines.file_of_folder(F.col("file")))
+    verify.file_report(raw, rule).write.parquet(at := scratch(spark, "report"))
+    report = spark.read.parquet(at)
+    verify.repaired(raw, rule, report).write.parquet(at := scratch(spark, "repaired"))
+    sinks.write_lines(spark.read.parquet(at), path)
+    return verify.after_repair(report)
 
 
 def export_t6(store: DataFrame, interval_ms: int) -> DataFrame:

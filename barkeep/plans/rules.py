@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from barkeep.functions.times import HOUR
 
-#: Resume floors: nothing is wanted from before these times.
+# Resume floors; nothing is wanted from before these times.
 FLOORS = {"binance": 1420070400000, "bybit": 1420070400000, "okx": 1420070400000, "hyperliquid": 1672531200000, "lighter": 1704067200000, "mexc": 1577836800000}
 
 
@@ -95,7 +95,10 @@ def in_universe(exchange: str, data: str, tradfi: tuple[str, ...] = TRADFI_TAGS)
 #: Whether a requested symbol that the master doesn't know is kept, where nothing is to be deleted.
 KEEPS_UNKNOWN = {"binance": True, "bybit_spot": True, "bybit_futures": False, "okx": True, "hyperliquid": False, "lighter": False, "mexc": True}
 
-#: How a back-fill starts and ends. Starts: the last stored time, that or the listing, that or a bounded history, the bar after it. Ends: delivery or shortly before now, now, the last completed bar.
+#: Which new rows count: those in ascending order, all later than what is stored, or archive by archive.
+APPENDS = {"binance": "monotonic", "bybit": "static", "okx": "archives", "hyperliquid": "static", "lighter": "static", "mexc": "monotonic"}
+
+# How a back-fill starts and ends. Starts: the last stored time, that or the listing, that or a bounded history, the bar after it. Ends: delivery or shortly before now, now, the last completed bar.
 FETCHES = {
     "binance": ("last", "delivery"),
     "bybit": ("last", "delivery"),

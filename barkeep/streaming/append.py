@@ -2,21 +2,27 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from barkeep.operators.append import append_monotonic
+from barkeep.operators.append import append_monotonic, last_times
 
 
-def _stored(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """What earlier batches have committed; the store may not exist yet."""
-    jvm = spark.sparkContext._jvm
-    root = jvm.org.apache.hadoop.fs.Path(path)
-    exists = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(root)
-    if not exists:
-        return spark.createDataFrame([], f"{schema}, batch long")
-    return spark.read.schema(f"{schema}, batch long").parquet(path)
+def _last_times(spark: SparkSession, store: str, resume: str, number: int) -> DataFrame:
+    """(symbol, last_ts) before batch ``number``: as the batch before has left it, else of the store without that batch, which may not exist yet."""
+    try:
+        kept = spark.read.schema("symbol string, last_ts long, batch long").parquet(f"{resume}/slot={(number - 1) % 2}")
+        if kept.where(F.col("batch") == number - 1).limit(1).count():
+            return kept.select("symbol", "last_ts")
+    except AnalysisException:
+        pass
+    try:
+        stored = spark.read.schema("symbol string, ts long, batch long").parquet(store)
+    except AnalysisException:
+        return spark.createDataFrame([], "symbol string, last_ts long")
+    return last_times(stored.where(F.col("batch") != number))
 
 
 def stream_append(landed: DataFrame, store: str, checkpoint: str, floor: int = 0) -> StreamingQuery:
@@ -24,15 +30,21 @@ def stream_append(landed: DataFrame, store: str, checkpoint: str, floor: int = 0
 
     Each batch drops what is not later than the symbol's last stored time or an earlier row of
     the batch. It is written to the store's partition of its batch number, in place of what a
-    failed try of the same batch may have left, so a restart neither loses nor repeats rows.
+    failed try of the same batch may have left, so a restart neither loses nor repeats rows. The
+    last times of all symbols are kept beside the store, in two slots that batches write in turn, so
+    only the first batch reads the store.
     """
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in landed.schema.fields)
+    resume = f"{store.rstrip('/')}-resume"
 
     def commit(batch: DataFrame, number: int) -> None:
-        stored = _stored(batch.sparkSession, store, schema).where(F.col("batch") != number)
-        new = append_monotonic(batch, stored.select("symbol", "ts"), floor).withColumn("batch", F.lit(number).cast("long"))
+        spark = batch.sparkSession
+        last = _last_times(spark, store, resume, number)
+        new = append_monotonic(batch, last.withColumnRenamed("last_ts", "ts"), floor)
         out = new.repartition("symbol").sortWithinPartitions("symbol", "ts")
-        out.drop("batch").write.mode("overwrite").parquet(f"{store}/batch={number}")
+        out.write.mode("overwrite").parquet(f"{store}/batch={number}")
+        added = spark.read.schema("symbol string, ts long").parquet(f"{store}/batch={number}").select("symbol", F.col("ts").alias("last_ts"))
+        now = last.unionByName(added).groupBy("symbol").agg(F.max("last_ts").alias("last_ts")).withColumn("batch", F.lit(number).cast("long"))
+        now.write.mode("overwrite").parquet(f"{resume}/slot={number % 2}")
 
     return landed.writeStream.foreachBatch(commit).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

@@ -1,13 +1,17 @@
 """New rows, universes, plans, bars and streams on small cases."""
 
+import gzip
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
 from barkeep.functions import lines, times
 from barkeep.operators import append, bars, universe
 from barkeep.plans import fetch, jobs
-from barkeep.plans.rules import in_universe
+from barkeep.plans.rules import LineRule, in_universe
 from barkeep.sources import files, sinks
+from barkeep.streaming import append as stream
 from barkeep.streaming.append import stream_append, stream_distinct
 
 ROWS = "symbol string, ts long, pos long"
@@ -132,6 +136,93 @@ def test_csv_scans(spark, tmp_path):
     assert tuple(files.scan_funding(spark, str(tmp_path / "ETH_fr.csv")).first()) == ("ETH", 5, 0.25)
 
 
+def test_columns_go_by_name(spark, tmp_path):
+    """Files with other orders and further columns are read by their headers; one without a column fails."""
+    (tmp_path / "A.csv").write_text("close,open_time,open,high,low,volume\n1.5,7,1,2,0.5,9\n")
+    (tmp_path / "B B.csv").write_text("open_time,open,high,low,close,volume,turnover\r\n8,1,2,0.5,1.25,9,77\r\n")
+    (tmp_path / "C.csv").write_text("")
+    rows = files.scan_candles(spark, str(tmp_path)).collect()
+    assert sorted((r["symbol"], r["open_time"], r["close"], r["volume"], r["is_corrupt"]) for r in rows) == [("A", 7, 1.5, 9.0, False), ("B B", 8, 1.25, 9.0, False)]
+    (tmp_path / "D.csv").write_text("open_time,open,high,low,close\n1,1,1,1,1\n")
+    with pytest.raises(ValueError, match=r"volume.*D\.csv"):
+        files.scan_candles(spark, str(tmp_path))
+    (tmp_path / "x_fr.csv").write_text("symbol,funding_rate,funding_time\nX,0.5,3\n")
+    assert tuple(files.scan_funding(spark, str(tmp_path / "x_fr.csv")).first()) == ("x", 3, 0.5)
+
+
+def test_all_candle_layouts(spark, tmp_path):
+    for layout, columns in files.LAYOUTS.items():
+        if layout != "funding":
+            names = [c.split(" ")[0] for c in re.split(r", ", columns)]
+            path = tmp_path / layout / "S.csv"
+            path.parent.mkdir()
+            path.write_text(",".join(names) + "\n" + ",".join(str(i + 1) for i in range(len(names))) + "\n")
+            row = files.scan_candles(spark, str(path), layout).first()
+            assert row["open_time"] == names.index("timestamp" if layout == "bars_12" else "open_time") + 1 and row["volume"] == names.index("volume") + 1
+
+
+def test_empty_folder_of_candles(spark, tmp_path):
+    (tmp_path / "A.csv").write_text("")
+    assert files.scan_candles(spark, str(tmp_path)).count() == 0
+
+
+@pytest.mark.parametrize("scheme", ["", "file:", "file://"])
+def test_archives_of_equal_names(spark, tmp_path, scheme):
+    paths = []
+    for i, folder in enumerate(("a1", "a 2")):
+        (tmp_path / folder).mkdir()
+        (tmp_path / folder / "2024-01.csv").write_text(f"open_time,open,high,low,close,volume\n{i},1,1,1,1,1\n")
+        paths.append(f"{scheme}{tmp_path}/{folder}/2024-01.csv")
+    (tmp_path / "z.csv.gz").write_bytes(gzip.compress(b"open_time,open,high,low,close,volume\n2,1,1,1,1,1\n"))
+    paths.append(f"{scheme}{tmp_path}/z.csv.gz")
+    assert sorted((r["open_time"], r["file_no"]) for r in files.scan_archives(spark, paths).collect()) == [(0, 0), (1, 1), (2, 2)]
+
+
+def test_instruments_scan(spark, tmp_path):
+    (tmp_path / "i.json").write_text('{"symbol": "A", "is_trading": true, "tags": ["x", "y"]}\n{"symbol": "B"}\n')
+    rows = {r["symbol"]: r for r in files.scan_instruments(spark, str(tmp_path)).collect()}
+    assert rows["A"]["tags"] == ["x", "y"] and rows["B"]["is_trading"] is None
+
+
+def test_symbol_list(spark):
+    assert universe.symbol_list(spark.createDataFrame([("B",), ("A",), ("B",)], "symbol string")).first()["symbols"] == "A, B"
+
+
+def test_written_csv_comes_back(spark, tmp_path):
+    rows = [("A/B", 2, 1.0, 1.0, 1.0, 1.0, 5.0), ("A/B", 1, 1.0, 1.0, 1.0, 1.0, 6.0), ("C+ d%", 1, 1.0, 1.0, 1.0, 1.0, 7.0)]
+    sinks.write_csv(spark.createDataFrame(rows, "symbol string, open_time long, open double, high double, low double, close double, volume double"), str(tmp_path / "csv"))
+    assert sorted(tuple(r)[:7] for r in files.scan_candles(spark, str(tmp_path / "csv")).collect()) == sorted(rows)
+
+
+def test_exported_records(spark):
+    rows = spark.createDataFrame([("A", 60_000, 1.0, 2.0, 0.5, 1.5, 3.0), ("A", 0, 1.0, 2.0, 0.5, 1.25, 3.0)], "symbol string, open_time long, open double, high double, low double, close double, volume double")
+    assert [(r["close_time"], r["close"]) for r in jobs.export_t6(rows, 60_000).collect()] == [(120_000, 1.5), (60_000, 1.25)]
+
+
+def test_verify_job(spark):
+    raw = spark.createDataFrame([("f", 1, "open_time,open"), ("f", 2, "60000,1"), ("f", 3, "0,1"), ("f", 4, "x")], "file string, line_no long, value string")
+    report, summary, verdict = jobs.verify_files(raw, LineRule(2, interval_ms=60_000))
+    assert (report.first()["total_records"], report.first()["malformed"], report.first()["out_of_order"]) == (2, 1, 1)
+    assert tuple(summary.first()) == (0, 1) and verdict.first()["any_unresolved"]
+
+
+def test_listing_after_a_failed_probe(spark):
+    daily = spark.createDataFrame([("A", 5)], "symbol string, open_time long")
+    asked = spark.createDataFrame([("A", False), ("B", None), ("C", True)], "symbol string, probe_failed boolean")
+    now = 100 * times.DAY
+    assert {tuple(r) for r in bars.listing_dates(daily, asked, now).collect()} == {("A", 5), ("B", now - times.DAY), ("C", now - 30 * times.DAY)}
+
+
+@pytest.mark.parametrize(("exchange", "want"), [("binance", [10, 20]), ("bybit_spot", [10, 15, 20]), ("okx", [10, 20])])
+def test_update_filters_by_exchange(spark, monkeypatch, exchange, want):
+    """Ascending rows, all later rows, or archive by archive."""
+    monkeypatch.setitem(jobs.FLOORS, exchange.split("_")[0], 0)
+    master = spark.createDataFrame([("A", True, 0, 0)], "symbol string, is_trading boolean, list_time long, delivery_time long")
+    incoming = spark.createDataFrame([("A", 10, 0, 0), ("A", 20, 1, 0), ("A", 15, 2, 1), ("A", 5, 3, 1)], f"{ROWS}, file_no int")
+    found = jobs.update_bars(incoming, spark.createDataFrame([("A", 5)], "symbol string, ts long"), master, spark.createDataFrame([("A",)], "symbol string"), exchange, 10**12, times.HOUR)
+    assert sorted(r["ts"] for r in found.new.collect()) == want
+
+
 @pytest.mark.parametrize(("header", "n"), [("Name,Symbol", 2), ("symbol,available_since", 2), ("NAME,PRICE", 0)])
 def test_symbols_files(spark, tmp_path, header, n):
     (tmp_path / "s.csv").write_text(f"{header}\na,b\nc,d\n")
@@ -172,8 +263,23 @@ def test_stream_appends_once(spark, tmp_path):
     run()
     batch([("A", 2, 0), ("A", 3, 1), ("B", 1, 2)])
     run()
+    batch([("A", 3, 0), ("B", 2, 1)])
+    run()
     run()
-    assert sorted((r["symbol"], r["ts"]) for r in spark.read.parquet(store).collect()) == [("A", 1), ("A", 2), ("A", 3), ("B", 1)]
+    kept = {tuple(r) for r in spark.read.parquet(f"{store}-resume").where("slot = 0").select("symbol", "last_ts").collect()}
+    assert kept == {("A", 3), ("B", 2)}
+    assert sorted((r["symbol"], r["ts"]) for r in spark.read.parquet(store).collect()) == [("A", 1), ("A", 2), ("A", 3), ("B", 1), ("B", 2)]
+
+
+def test_stream_goes_on_from_a_store_without_slots(spark, tmp_path):
+    """Without the table of last times, and on a second try of a batch, the store tells what is new."""
+    store, resume = str(tmp_path / "store"), str(tmp_path / "resume")
+    assert stream._last_times(spark, store, resume, 0).count() == 0
+    rows = lambda *r: spark.createDataFrame(list(r), ROWS)
+    rows(("A", 5, 0)).write.parquet(f"{store}/batch=0")
+    rows(("A", 9, 0)).write.parquet(f"{store}/batch=1")
+    assert [tuple(r) for r in stream._last_times(spark, store, resume, 1).collect()] == [("A", 5)]
+    assert [tuple(r) for r in stream._last_times(spark, store, resume, 2).collect()] == [("A", 9)]
 
 
 def test_stream_drops_repeats(spark, tmp_path):

@@ -28,14 +28,66 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def written(df: DataFrame, name: str, compression: str | None = None) -> DataFrame:
     """``df`` written once as Parquet to the shared folder and read again, which cuts its lineage."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: A key is hot if it holds more than one in HOT_SHARE of all rows, and more than HOT_ROWS of them.
+HOT_SHARE, HOT_ROWS = 256, 200
+
+
+def hot_keys(counts: DataFrame, key: str, count: str, total: int) -> list[tuple]:
+    """(key, parts) of the hot keys in a table of counts: so many parts that each is no longer hot. There are HOT_SHARE at the most."""
+    limit = max(HOT_ROWS, total // HOT_SHARE)
+    rows = counts.where(F.col(key).isNotNull() & (F.col(count) > limit)).select(key, F.ceil(F.col(count) / limit).cast("int"))
+    return [tuple(r) for r in rows.collect()]
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, or with underscores behind it if ``df`` has such a column."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def spread_join(rows: DataFrame, other: DataFrame, key: str, hot: list[tuple], by: list[str], how: str = "inner") -> DataFrame:
+    """``rows`` joined with ``other``, which has one row for each key: rows of the given hot keys go to several tasks.
+
+    A row's part follows from a hash of the columns ``by``; ``other`` has a copy of a hot key's row for each of its parts.
+    """
+    if not hot:
+        return rows.join(other, key, how)
+    parts_of, part = free_name(rows, "parts"), free_name(rows, "part")
+    parts = F.broadcast(rows.sparkSession.createDataFrame(hot, f"{key} {other.schema[key].dataType.simpleString()}, {parts_of} int"))
+    dealt = rows.join(parts, key, "left").withColumn(part, F.pmod(F.xxhash64(*by), F.coalesce(parts_of, F.lit(1)))).drop(parts_of)
+    copies = other.join(parts, key, "left").withColumn(part, F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce(parts_of, F.lit(1)).cast("long") - 1))).drop(parts_of)
+    return dealt.join(copies, [key, part], how).drop(part)
+
+
+#: Bits of the table that stands for a set of keys in ``among``.
+WANTED_BITS = 1 << 23
+
+
+def among(rows: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
+    """The rows whose key is in the one column of ``wanted``, and few others, as long as these are fewer than about WANTED_BITS / 8.
+
+    The hash of each wanted key sets a bit of a table of fixed size (two megabytes), which is broadcast; so
+    rows that no join needs are dropped where they are read. Exactness is left to that join.
+    """
+    place = lambda x: F.pmod(F.xxhash64(x), F.lit(WANTED_BITS))
+    bit = lambda at: F.call_function("shiftleft", F.lit(1).cast("long"), (at % 64).cast("int"))
+    own = wanted.columns[0]
+    word, bits, at = free_name(rows, "word"), free_name(rows, "bits"), free_name(rows, "at")
+    table = wanted.select(place(F.col(own)).alias(at)).groupBy(F.floor(F.col(at) / 64).alias(word)).agg(F.bit_or(bit(F.col(at))).alias(bits))
+    probed = rows.withColumn(at, place(F.col(key))).withColumn(word, F.floor(F.col(at) / 64)).join(F.broadcast(table), word)
+    return probed.where(F.col(bits).bitwiseAND(bit(F.col(at))) != 0).drop(word, bits, at)
+
+
 #: Rows of an Arrow batch on its way to Python and back: whole texts are long.
 BATCH_ROWS = 1_000
 

@@ -138,19 +138,63 @@ def test_documents(spark):
     assert sorted(map(tuple, found), key=str) == brute_documents(rows)
 
 
-def test_pairs_across_components_are_found(spark, monkeypatch):
-    """Where the first look finds no link, the second one alone joins all groups of three or more."""
+@pytest.mark.parametrize("small, sets_, common, bits", [(2, 7, 3, 40), (1, 1024, 10**9, 6), (3, 10, 5, 7)])
+def test_blocks_and_pieces_give_the_same(spark, monkeypatch, small, sets_, common, bits):
+    """Large groups, blocks of few sets, common signatures dealt in pieces and short ids that many sets share find the same links."""
+    for name, value in (("SMALL", small), ("BLOCK_SETS", sets_), ("COMMON", common), ("COLUMNS", 16), ("GATHERED", 5000), ("SHORT_BITS", bits)):
+        monkeypatch.setattr(jaccard_join, name, value)
+    rows = similar_documents()
+    found = jaccard_join.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
+    assert sorted(map(tuple, found), key=str) == brute_documents(rows)
+
+
+def test_blocks_alone_join_what_pairs_leave(spark, monkeypatch):
+    """Where no pair is verified one by one, comparing blocks joins the sets of large groups."""
     rows = [(i, " ".join(f"w{k}" for k in range(100) if k != i)) for i in range(40)]
-    real, calls = jaccard_join.verified, []
+    monkeypatch.setattr(jaccard_join, "first_pairs", lambda groups: spark.createDataFrame([], "a long, b long"))
+    monkeypatch.setattr(jaccard_join, "BLOCK_SETS", 7)
+    monkeypatch.setattr(jaccard_join, "SMALL", 1)
+    found = jaccard_join.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r["component_id"] for r in found} == {0}
+
+
+def test_unlinked_texts_with_a_common_passage_make_few_rows(spark, monkeypatch):
+    """What leaves the comparison of blocks grows with sets, not with pairs."""
+    rnd, passage = random.Random(3), [f"p{k}" for k in range(160)]
+    rows = [(i, " ".join([*passage, *[f"d{rnd.random()}" for _ in range(45)]])) for i in range(120)]
+    real, made = jaccard_join.compared, []
 
-    def second_only(pairs, *rest):
-        calls.append(1)
-        return real(pairs.limit(0) if len(calls) == 1 else pairs, *rest)
+    def counted(*given):
+        made.append(real(*given).cache())
+        return made[-1]
 
-    monkeypatch.setattr(jaccard_join, "verified", second_only)
-    monkeypatch.setattr(jaccard_join, "CHUNK", 7)
+    monkeypatch.setattr(jaccard_join, "compared", counted)
     found = jaccard_join.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
-    assert len(calls) > 2 and {r["component_id"] for r in found} == {0}
+    assert sorted(map(tuple, found), key=str) == brute_documents(rows)
+    assert sum(df.count() for df in made) <= len(rows)
+
+
+def test_screening_keeps_every_linked_set():
+    """Sketches never exclude a set that has a partner, and exclude most that have none."""
+    rnd = np.random.default_rng(5)
+    base = [np.unique(rnd.integers(0, 2**63, int(n), dtype=np.uint64)) for n in rnd.integers(4, 900, 80)]
+    base.append(np.unique(np.concatenate([np.arange(2000, dtype=np.uint64) << np.uint64(20), base[0]])))  # all in few cells
+    other = [np.unique(np.concatenate([b[: max(4, int(len(b) * share))], rnd.integers(0, 2**63, 3, dtype=np.uint64)])) for b, share in zip(base, rnd.choice([0.5, 0.8, 0.9, 1.0], len(base)), strict=True)]
+    end = lambda sets, first: (np.arange(first, first + len(sets)), np.array([len(s) for s in sets]), [jaccard_join.sketch(s) for s in sets])
+    kept = jaccard_join.may_link(end(base, 0), end(other, 1000))
+    link = np.array([[jaccard_join.similar(a, b) for b in other] for a in base])
+    assert kept[0][link.any(axis=1)].all() and kept[1][link.any(axis=0)].all() and link.any() and not kept[0].all()
+    itself = jaccard_join.may_link(end(base, 0), end(base, 0))
+    assert (itself[0] == itself[1]).all() and itself[0].sum() < len(base) / 4
+
+
+def test_shared_counts(monkeypatch):
+    rnd = np.random.default_rng(2)
+    sets = [np.unique(rnd.choice([rnd.integers(0, 50, 30), rnd.integers(0, 10**6, 30)]).astype(np.uint64)) for _ in range(60)]
+    want = [[len(np.intersect1d(a, b)) for b in sets[:25]] for a in sets]
+    for dense in (0, 3, 100, 10**9):
+        monkeypatch.setattr(jaccard_join, "DENSE", dense)
+        assert jaccard_join.shared_counts(sets, sets[:25]).tolist() == want
 
 
 def chains(seeds):
@@ -170,12 +214,19 @@ def test_links_that_meet_in_groups_of_two(spark):
     assert sorted(map(tuple, found), key=str) == brute_documents(rows)
 
 
-def test_no_pair_of_two_is_left_out(spark):
-    """A set whose star goes to one leader is still verified against the leader of its other group."""
-    groups = spark.createDataFrame([(1, [3]), (2, [3]), (1, [3]), (4, [5, 6]), (7, [6])], "leader long, members array<long>")
-    assert {tuple(r) for r in jaccard_join.pairs_left(groups).collect()} == {(2, 3), (7, 6)}
-    joined = spark.createDataFrame([(2, 1), (3, 1), (6, 4)], "id long, component_id long")
-    assert {tuple(r) for r in jaccard_join.apart(jaccard_join.pairs_left(groups), joined).collect()} == {(7, 6)}
+def test_first_pairs(spark, monkeypatch):
+    """All pairs of small groups; of a large one each set with the smallest id that it meets most often."""
+    monkeypatch.setattr(jaccard_join, "SMALL", 3)
+    groups = spark.createDataFrame([(1, True, [1, 3]), (2, True, [2, 3, 5]), (3, True, [1, 7, 8, 9]), (4, True, [1, 7, 8, 10]), (5, False, [6, 7])], "of long, whole boolean, members array<long>")
+    assert {tuple(r) for r in jaccard_join.first_pairs(groups).collect()} == {(1, 3), (2, 3), (2, 5), (3, 5), (1, 7), (1, 8), (1, 9), (1, 10)}
+
+
+def test_repeated_ids_are_one_node(spark):
+    """Rows of one id join what each of their texts is like."""
+    text = lambda name: " ".join(f"{name}{k}" for k in range(60))
+    rows = [(1, text("a")), (2, text("a")), (2, text("b")), (5, text("b")), (6, text("c")), (6, text("c")), (7, text("d"))]
+    found = jaccard_join.near_duplicates(spark.createDataFrame(rows, "doc_id int, text string")).collect()
+    assert sorted(map(tuple, found)) == brute_documents(rows)
 
 
 def test_odd_documents(spark, odd_docs, odd_rows, no_docs):

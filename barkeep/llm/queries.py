@@ -50,7 +50,7 @@ def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = fingerprint.with_next(table(spark, sf_dir, "documents"))
     rows = rows.withColumn("edited", fingerprint.edited_text(F.col("text"), F.col("next_text")))
-    rows = rows.withColumn("edited_lanes", fingerprint.lanes(F.col("edited")))
+    rows = rows.withColumn("edited_lanes", fingerprint.edited_lanes(F.col("text"), F.col("fingerprint"), F.col("edited")))
     own = F.col("fingerprint")
     return rows.select(
         "doc_id",

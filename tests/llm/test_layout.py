@@ -78,6 +78,30 @@ def test_shards_of_odd_documents(spark, odd_docs, odd_rows, no_docs, tmp_path):
     assert queries.op3_sharding(spark, str(tmp_path)).select("law").distinct().collect() == [("bytes",)]
 
 
+def test_shards_are_near_equal(spark):
+    """The smallest shard has nearly as much as the largest, which is as small as it can be."""
+    sizes = Counter()
+    for r in queries.op3_sharding(spark, "/root/testdata/sf0.01").select("shard", "size").collect():
+        sizes[r["shard"]] += r["size"]
+    assert len(sizes) == 40 and min(sizes.values()) >= 0.85 * max(sizes.values())
+    rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()]
+    assert max(sizes.values()) == smallest(group_sizes(rows), 40)
+
+
+@pytest.mark.parametrize("seed", range(30))
+def test_cuts_keep_the_capacity(seed):
+    rnd = random.Random(seed)
+    sizes = [int(rnd.paretovariate(0.8)) for _ in range(rnd.randrange(1, 60))]
+    n, edges = rnd.randrange(1, 9), [0]
+    for s in sizes:
+        edges.append(edges[-1] + s)
+    holding = lambda targets: [max((a, b) for a, b in zip(edges, edges[1:], strict=False) if a <= t < b) for t in targets]
+    capacity = smallest(sizes, n)
+    cuts = sharding.near_equal_cuts(holding, capacity, edges[-1], n)
+    ends = [0, *cuts, edges[-1]]
+    assert len(cuts) == n - 1 and {*cuts} <= {*edges} and all(0 <= b - a <= capacity for a, b in zip(ends, ends[1:], strict=False))
+
+
 def prints(df):
     return df.select("text", fingerprint.as_hex(F.col("fingerprint")).alias("print")).collect()
 
@@ -93,6 +117,35 @@ def test_fingerprints_ignore_order_and_follow_edits(spark):
     assert tuple(pair.select(fingerprint.as_hex(grown), fingerprint.as_hex(back)).first()) == (own["a\nb\nc"], own["a\nb"])
 
 
+def brute_lanes(text, hashes):
+    """The fingerprint by plain loops; hashes has the four hashes of each paragraph."""
+    out = [0] * fingerprint.LANES
+    for p in text.split("\n"):
+        for i in range(fingerprint.LANES):
+            out[i] += 2 * ((hashes[p][i // 16] >> (4 * (i % 16))) & 15) - 15
+    return out
+
+
+def test_fingerprints_by_plain_loops(spark, monkeypatch):
+    """Lanes, edited lanes and likenesses of texts of one to many paragraphs."""
+    monkeypatch.setattr(fingerprint, "BLOCK", 7)
+    rnd = random.Random(6)
+    texts = ["", "\n", "one", "a\n\nb"] + ["\n".join(rnd.choice(["", "α line", "x", "y 1", "z" * 30, f"l{rnd.random()}"]) for _ in range(rnd.randrange(1, 60))) for _ in range(40)]
+    rows = fingerprint.with_next(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    rows = rows.withColumn("edited", fingerprint.edited_text(F.col("text"), F.col("next_text")))
+    rows = rows.withColumn("edited_lanes", fingerprint.edited_lanes(F.col("text"), F.col("fingerprint"), F.col("edited")))
+    found = rows.select("*", fingerprint.likeness(F.col("fingerprint"), F.col("edited_lanes")).alias("near")).collect()
+    parts = sorted({p for r in found for t in (r["text"], r["edited"]) for p in t.split("\n")})
+    hashed = spark.createDataFrame([(p,) for p in parts], "p string").select("p", *[F.xxhash64("p", F.lit(seed)) for seed in range(4)]).collect()
+    hashes = {r[0]: [h % 2**64 for h in r[1:]] for r in hashed}
+    assert len(found) == len(texts)
+    for r in found:
+        own, edited, after = (brute_lanes(r[c], hashes) for c in ("text", "edited", "next_text"))
+        assert [r["fingerprint"], r["edited_lanes"], r["next_fingerprint"]] == [[x % 2**36 for x in v] for v in (own, edited, after)]
+        dot, norm = sum(x * y for x, y in zip(own, edited, strict=True)), (sum(x * x for x in own) * sum(x * x for x in edited)) ** 0.5
+        assert r["near"] == (1 if own == edited else pytest.approx(max(0, dot / norm)))
+
+
 def test_likeness(spark):
     lines = [f"line {i}" for i in range(200)]
     pairs = [("\n".join(lines), "\n".join(lines[:k] + [f"new {i}" for i in range(200 - k)])) for k in (200, 150, 100, 0)]

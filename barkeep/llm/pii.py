@@ -22,6 +22,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 THRESHOLD, WINDOW, RAISE = 0.5, 48, 0.4
+#: Matches before one that its context can reach: each has 7 characters or more.
+REACH = WINDOW // 7 + 1
+#: Entries of an array that grows, and characters of a chunk of a text that is cut to pieces.
+BLOCK, CHUNK = 128, 1024
 
 _DIGITS = "[^0-9]"
 
@@ -77,34 +81,66 @@ ADDED = (
 )
 
 
+def _let(value: Column, body) -> Column:
+    """``body`` of a lambda variable that holds ``value``: it is computed once, however often the body names it."""
+    return F.transform(F.array(value), body)[0]
+
+
+def _before(values: Column, combine, depth: int = 2) -> Column:
+    """For each of an array's integers, the integers before it combined from 0 on.
+
+    Arrays are copied when something is appended, so sums are made in blocks of BLOCK, of blocks of
+    BLOCK, and no array of more than BLOCK entries grows until there are over BLOCK**3.
+    """
+    none = F.array().cast("array<int>")
+
+    def scan(block: Column, at: Column) -> Column:
+        step = lambda acc, v: F.struct(combine(acc["at"], v).alias("at"), F.array_append(acc["all"], acc["at"]).alias("all"))
+        return F.aggregate(block, F.struct(at.alias("at"), none.alias("all")), step, lambda acc: acc["all"])
+
+    if not depth:
+        return scan(values, F.lit(0))
+
+    def blocked(v: Column) -> Column:
+        last = F.greatest(F.ceil(F.size(v) / BLOCK).cast("int") - 1, F.lit(0))
+        blocks = F.transform(F.sequence(F.lit(0), last), lambda k: F.slice(v, k * BLOCK + 1, F.lit(BLOCK)))
+        whole = lambda x: F.aggregate(x, F.lit(0), combine)
+        return _let(blocks, lambda x: F.flatten(F.zip_with(x, _before(F.transform(x, whole), combine, depth - 1), scan)))
+
+    return _let(values, blocked)
+
+
 def matches(text: Column, kind: Kind) -> Column:
-    """array<struct<kind, start, end, score>> of one kind, with all that its expression proposes and its check confirms."""
-    whole = rf"(?s)\G(.*?)({kind.pattern})"
-    gaps = F.regexp_extract_all(text, F.lit(whole), F.lit(1))
-    found = F.regexp_extract_all(text, F.lit(whole), F.lit(2))
-    pairs = F.arrays_zip(gaps.alias("gap"), found.alias("match"))
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,match:string>>").alias("spans"))
-
-    def step(acc: Column, p: Column) -> Column:
-        start = acc["at"] + F.char_length(p["gap"])
-        end = start + F.char_length(p["match"])
-        return F.struct(end.alias("at"), F.concat(acc["spans"], F.array(F.struct(start.alias("start"), end.alias("end"), p["match"].alias("match")))).alias("spans"))
-
-    spans = F.aggregate(pairs, zero, step, lambda acc: acc["spans"])
-    if kind.check is not None:
-        spans = F.filter(spans, lambda s: kind.check(s["match"]))
+    """array<struct<kind, start, end, score>> of one kind, with all that its expression proposes and its check confirms.
+
+    The time is linear in the text and its matches: offsets are sums of lengths, and context comes
+    from the few gaps and matches before a match.
+    """
+    none = F.array().cast("array<struct<kind:string,start:int,end:int,score:double>>")
     words = rf"(?i)(?<![A-Za-z])({'|'.join(kind.context)})(?![A-Za-z])"
 
-    def scored(s: Column) -> Column:
-        score = F.lit(kind.score)
-        if kind.context:
-            begin = F.greatest(s["start"] - WINDOW, F.lit(0))
-            score = score + F.when(F.substring(text, begin + 1, s["start"] - begin).rlike(words), F.lit(RAISE)).otherwise(F.lit(0.0))
-        return F.struct(F.lit(kind.name).alias("kind"), s["start"].alias("start"), s["end"].alias("end"), F.least(score, F.lit(1.0)).alias("score"))
+    def located(found: Column, gaps: Column) -> Column:
+        lengths = F.zip_with(F.slice(gaps, F.lit(1), F.size(found)), found, lambda g, m: F.char_length(g) + F.char_length(m))
+        ends_before = _before(lengths, lambda x, y: x + y)
+        spans = F.transform(F.arrays_zip(found.alias("match"), ends_before.alias("at")), lambda p, i: F.struct(p["match"].alias("match"), (p["at"] + F.char_length(gaps[i])).alias("start"), i.alias("i")))
+        if kind.check is not None:
+            spans = F.filter(spans, lambda s: kind.check(s["match"]))
 
-    none = F.array().cast("array<struct<kind:string,start:int,end:int,score:double>>")
-    kept = F.filter(F.transform(spans, scored), lambda s: s["score"] >= THRESHOLD)
-    return F.when(text.rlike(kind.needs), kept).otherwise(none)
+        def scored(s: Column) -> Column:
+            score = F.lit(kind.score)
+            if kind.context:
+                first = F.greatest(s["i"] - REACH, F.lit(0))
+                back = lambda x, n: F.slice(x, first + 1, n)
+                ahead = F.zip_with(back(gaps, s["i"] - first), back(found, s["i"] - first), lambda g, m: F.concat(g, m))
+                near = F.right(F.concat(F.array_join(ahead, ""), gaps[s["i"]]), F.lit(WINDOW))
+                score = score + F.when(near.rlike(words), F.lit(RAISE)).otherwise(F.lit(0.0))
+            return F.struct(F.lit(kind.name).alias("kind"), s["start"].alias("start"), (s["start"] + F.char_length(s["match"])).alias("end"), F.least(score, F.lit(1.0)).alias("score"))
+
+        return F.filter(F.transform(spans, scored), lambda s: s["score"] >= THRESHOLD)
+
+    found, gaps = F.regexp_extract_all(text, F.lit(f"({kind.pattern})"), F.lit(1)), F.split(text, kind.pattern, -1)
+    every = _let(found, lambda m: F.when(F.size(m) == 0, none).otherwise(_let(gaps, lambda g: located(m, g))))
+    return F.when(text.rlike(kind.needs), every).otherwise(none)
 
 
 def find(docs: DataFrame, text: str = "text", kinds: tuple[Kind, ...] = BASE + ADDED, to: str = "spans") -> DataFrame:
@@ -113,7 +149,7 @@ def find(docs: DataFrame, text: str = "text", kinds: tuple[Kind, ...] = BASE + A
     rank = F.create_map(*[F.lit(x) for i, k in enumerate(kinds) for x in (k.name, i)])
     found = F.concat(*[matches(whole, k) for k in kinds])
     ranked = F.transform(found, lambda s: F.struct(s["start"].alias("start"), rank[s["kind"]].alias("rank"), s.alias("span")))
-    return docs.withColumn(to, F.transform(F.array_sort(ranked), lambda r: r["span"]))
+    return docs.withColumn(to, F.transform(F.sort_array(ranked), lambda r: r["span"]))
 
 
 def as_text(spans: Column) -> Column:
@@ -122,13 +158,24 @@ def as_text(spans: Column) -> Column:
 
 
 def redacted(text: Column, spans: Column) -> Column:
-    """``text`` with each span, or run of spans that overlap, replaced by the kind of its first in brackets."""
-    zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+    """``text`` with each span, or run of spans that overlap, replaced by the kind of its first in brackets.
+
+    Parts of the text are cut from chunks of CHUNK characters, so that no cut walks the whole text.
+    """
+
+    def joined(chunks: Column, spans: Column) -> Column:
+        def cut(at: Column, n: Column) -> Column:
+            first = F.floor(at / CHUNK).cast("int")
+            few = F.floor((at + n) / CHUNK).cast("int") - first + 1
+            return F.substring(F.array_join(F.slice(chunks, first + 1, few), ""), at - first * CHUNK + 1, n)
+
+        def piece(s: Column, at: Column) -> Column:
+            mark = F.when(s["start"] >= at, F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]"))).otherwise("")
+            return F.concat(cut(at, F.greatest(s["start"] - at, F.lit(0))), mark)
 
-    def step(acc: Column, s: Column) -> Column:
-        gap = F.substring(text, acc["at"] + 1, F.greatest(s["start"] - acc["at"], F.lit(0)))
-        mark = F.when(s["start"] >= acc["at"], F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]"))).otherwise("")
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.concat(acc["out"], gap, mark).alias("out"))
+        pieces = F.zip_with(spans, _before(F.transform(spans, lambda s: s["end"]), lambda x, y: F.greatest(x, y)), piece)
+        rest = cut(F.array_max(F.transform(spans, lambda s: s["end"])), F.char_length(text))
+        return F.concat(F.array_join(pieces, ""), rest)
 
-    done = lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.char_length(text)))
-    return F.when(F.size(spans) == 0, text).otherwise(F.aggregate(spans, zero, step, done))
+    chunks = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{CHUNK}}}"), F.lit(0))
+    return F.when(F.size(spans) == 0, text).otherwise(_let(chunks, lambda c: _let(spans, lambda x: joined(c, x))))

@@ -16,7 +16,7 @@ forest of its links, never all pairs.
 Defined results: vectors that are null, zero, or hold a null or a value that is not finite
 link with nothing, and neither do those without a label; vectors of different lengths never
 link; repeated ids are compared each on its own, but share one id in the result's components;
-an empty table gives no rows.
+an empty table gives no rows. Ids are integers of up to 64 bits.
 """
 
 from __future__ import annotations
@@ -26,11 +26,12 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from barkeep.llm._util import small_batches, written
-from barkeep.llm.components import components
+from barkeep.llm._util import hot_keys, small_batches, spread_join, written
+from barkeep.llm.components import components, forest
 
 THRESHOLD = 0.98
 #: Vectors in a tile, leading dimensions of its bounding box, dimensions added at a time.
@@ -48,18 +49,28 @@ def _can_link() -> Column:
 
 
 def usable(vectors: DataFrame) -> DataFrame:
-    """Of (vec_id, label, embedding): the rows that can link, with their values as doubles."""
-    plain = F.transform("embedding", lambda x: F.when(x == 0, F.lit(0.0)).otherwise(x.cast("double")))  # -0.0 equals 0.0
-    return vectors.where(_can_link()).select("vec_id", "label", plain.alias("values"))
+    """Of (vec_id, label, embedding): the rows that can link, as (vec_id, same, values): same is equal for equal vectors of a label.
+
+    Vectors are told apart by 128 bits of hashes, so that they need not travel to be grouped.
+    """
+    plain = F.transform("embedding", lambda x: F.when(x == 0, x * 0 + 0).otherwise(x))  # -0.0 equals 0.0
+    rows = vectors.where(_can_link()).select("vec_id", "label", plain.cast(vectors.schema["embedding"].dataType).alias("values"))
+    same = F.struct("label", F.xxhash64(F.lit(1), "values").alias("h1"), F.xxhash64(F.lit(2), "values").alias("h2"))
+    return rows.select("vec_id", same.alias("same"), "values")
 
 
-def _unit(batch: pa.RecordBatch, column: str, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """The vectors as given and scaled to length 1, filled up with zeros to one width."""
-    given = np.zeros((batch.num_rows, width))
-    for i, v in enumerate(batch.column(column).to_pylist()):
-        given[i, : len(v)] = v
+def _unit(given: np.ndarray) -> np.ndarray:
+    """Vectors scaled to length 1."""
     scaled = given / np.abs(given).max(axis=1, keepdims=True)  # so that squares neither vanish nor overflow
-    return given, scaled / np.linalg.norm(scaled, axis=1, keepdims=True)
+    return scaled / np.linalg.norm(scaled, axis=1, keepdims=True)
+
+
+def _given(column: pa.ListArray, width: int) -> np.ndarray:
+    """The vectors of a column, filled up with zeros to one width."""
+    lengths = np.diff(column.offsets.to_numpy())
+    given = np.zeros((len(column), width))
+    given[np.arange(width) < lengths[:, None]] = column.flatten().to_numpy(zero_copy_only=False)
+    return given
 
 
 def basis(groups: DataFrame, width: int) -> np.ndarray:
@@ -69,7 +80,7 @@ def basis(groups: DataFrame, width: int) -> np.ndarray:
         total = np.zeros((width, width))
         for batch in batches:
             if batch.num_rows:
-                unit = _unit(batch, "values", width)[1]
+                unit = _unit(_given(batch.column(0), width))
                 total += unit.T @ unit
         i, j = np.indices(total.shape)
         yield pa.RecordBatch.from_arrays([pa.array(x.ravel()) for x in (i, j, total)], ["i", "j", "total"])
@@ -81,23 +92,27 @@ def basis(groups: DataFrame, width: int) -> np.ndarray:
     return np.linalg.eigh(matrix)[1][:, ::-1].copy()
 
 
-def _turned(groups: DataFrame, directions: np.ndarray) -> DataFrame:
-    """Adds the turned vector's leading coordinate and both vectors as bytes."""
-    shared = groups.sparkSession.sparkContext.broadcast(directions)  # dimension squared
-    at = groups.columns.index("values")
+def _led(groups: DataFrame, directions: Broadcast) -> DataFrame:
+    """Adds lead, the leading coordinate of the turned vector, and packs values as bytes."""
     names = [c for c in groups.columns if c != "values"]
+    kind = _number(groups)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            given, unit = _unit(batch, "values", len(shared.value))
-            turned = unit @ shared.value
-            more = [pa.array(turned[:, 0]), pa.array([r.tobytes() for r in turned], pa.binary()), pa.array([r.tobytes() for r in given], pa.binary())]
-            yield pa.RecordBatch.from_arrays([*[c for i, c in enumerate(batch.columns) if i != at], *more], [*names, "lead", "turned", "given"])
+            if batch.num_rows:
+                column = batch.column(len(names))
+                lead = _unit(_given(column, len(directions.value))) @ directions.value[:, 0]
+                values, ends = column.flatten().to_numpy(zero_copy_only=False).astype(kind), np.cumsum(np.diff(column.offsets.to_numpy()))
+                packed = [v.tobytes() for v in np.split(values, ends[:-1])]
+                yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], pa.array(lead), pa.array(packed, pa.binary())], [*names, "lead", "given"])
 
     kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in groups.schema.fields if f.name in names)
-    return groups.mapInArrow(run, f"{kinds}, lead double, turned binary, given binary")
+    return groups.select(*names, "values").mapInArrow(run, f"{kinds}, lead double, given binary")
+
+
+def _number(groups: DataFrame) -> np.dtype:
+    """The type in which vectors travel: single precision if they come so."""
+    return np.dtype("<f4" if groups.schema["values"].dataType.elementType.simpleString() == "float" else "<f8")
 
 
 def close_pairs(x: np.ndarray, y: np.ndarray, given_x: np.ndarray, given_y: np.ndarray, threshold: float = THRESHOLD) -> tuple[np.ndarray, np.ndarray]:
@@ -141,27 +156,7 @@ def _decided(i: np.ndarray, j: np.ndarray, cosine: np.ndarray, given_x: np.ndarr
     return i[cosine >= threshold], j[cosine >= threshold]
 
 
-def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Links from each node to the smallest node of its component, for links a[k]-b[k]."""
-    nodes, ends = np.unique(np.concatenate([a, b]), return_inverse=True)
-    x, y = ends[: len(a)], ends[len(a) :]
-    root = np.arange(len(nodes))
-    while True:
-        low = np.minimum(root[x], root[y])
-        new = root.copy()
-        np.minimum.at(new, root[x], low)
-        np.minimum.at(new, root[y], low)
-        new = new[new]
-        if (new == root).all():
-            break
-        root = new
-    while (root[root] != root).any():
-        root = root[root]
-    other = root != np.arange(len(nodes))
-    return nodes[other], nodes[root[other]]
-
-
-def tiles(groups: DataFrame) -> DataFrame:
+def tiles(groups: DataFrame, directions: Broadcast, number: np.dtype) -> DataFrame:
     """One row for each TILE vectors, or fewer, of a label and length, in the order of the leading coordinate.
 
     A label's vectors fall into up to RANGES quantile ranges, and those of a very large label
@@ -183,17 +178,16 @@ def tiles(groups: DataFrame) -> DataFrame:
 
     def packed(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("rep")
-        turned = np.stack([np.frombuffer(v) for v in group["turned"]])
-        given = np.stack([np.frombuffer(v) for v in group["given"]])
+        given = b"".join(group["given"])
+        turned = _unit(np.frombuffer(given, number).reshape(len(group), -1).astype(np.float64)) @ _axes(directions.value, int(group["width"].iloc[0]))
         head = turned[:, :BOX]
         rest = np.sqrt(np.maximum(0, 1 - (head * head).sum(axis=1)))
         own = group.iloc[:1][["label", "width", "range", "step", "tile"]].reset_index(drop=True)
-        short = given.astype(np.float32)
-        blobs = {"reps": group["rep"].to_numpy(np.int64), "weights": group["weight"].to_numpy(np.int64), "turned": turned.astype(np.float32), "given": short if (short == given).all() else given}
-        return own.assign(low=[head.min(axis=0).tolist()], high=[head.max(axis=0).tolist()], rest_low=rest.min(), rest_high=rest.max(), **{k: [v.tobytes()] for k, v in blobs.items()})
+        blobs = {"reps": group["rep"].to_numpy(np.int64).tobytes(), "weights": group["weight"].to_numpy(np.int64).tobytes(), "given": given}
+        return own.assign(low=[head.min(axis=0).tolist()], high=[head.max(axis=0).tolist()], rest_low=rest.min(), rest_high=rest.max(), **{k: [v] for k, v in blobs.items()})
 
     kind = rows.schema["label"].dataType.simpleString()
-    schema = f"label {kind}, width int, range long, step long, tile long, low array<double>, high array<double>, rest_low double, rest_high double, reps binary, weights binary, turned binary, given binary"
+    schema = f"label {kind}, width int, range long, step long, tile long, low array<double>, high array<double>, rest_low double, rest_high double, reps binary, weights binary, given binary"
     out = rows.groupBy("label", "width", "range", "step", "tile").applyInPandas(packed, schema)
     return out.withColumn("tile_id", F.struct("label", "width", "range", "step", "tile"))
 
@@ -216,18 +210,24 @@ def near_tiles(made: DataFrame, threshold: float) -> DataFrame:
     return pairs.select(F.col("a.tile_id").alias("a"), F.col("b.tile_id").alias("b")).distinct()
 
 
-def compared(made: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """(id, weight, to): the weight that a vector links to in one comparison, and links of a spanning forest (weight 0)."""
-    blobs = lambda end: made.select(F.col("tile_id").alias(end), F.struct("width", "reps", "weights", "turned", "given").alias(f"tile_{end}"))
+def _axes(directions: np.ndarray, width: int) -> np.ndarray:
+    """The directions for vectors of a width that were filled up with zeros."""
+    return directions[:width]
+
+
+def compared(made: DataFrame, directions: Broadcast, number: np.dtype, threshold: float = THRESHOLD) -> DataFrame:
+    """(id, weight, to): the weight that a vector links to in one comparison, and links of a spanning forest (weight 0).
+
+    Only the vectors as given travel; they are turned where they are compared.
+    """
+    blobs = lambda end: made.select(F.col("tile_id").alias(end), F.struct("width", "reps", "weights", "given").alias(f"tile_{end}"))
     pairs = near_tiles(made, threshold).join(blobs("a"), "a").join(blobs("b"), "b")
     pairs = pairs.select((F.col("a") == F.col("b")).alias("same"), "tile_a", "tile_b")
 
     def unpacked(tile: dict) -> tuple[np.ndarray, ...]:
         reps, weights = np.frombuffer(tile["reps"], np.int64), np.frombuffer(tile["weights"], np.int64)
-        n = len(reps)
-        turned = np.frombuffer(tile["turned"], np.float32).reshape(n, -1)
-        kind = np.float32 if len(tile["given"]) == turned.nbytes else np.float64
-        return reps, weights, turned, np.frombuffer(tile["given"], kind).reshape(n, -1).astype(np.float64)
+        given = np.frombuffer(tile["given"], number).reshape(len(reps), -1).astype(np.float64)
+        return reps, weights, (_unit(given) @ _axes(directions.value, tile["width"])).astype(np.float32), given
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -255,16 +255,18 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, vec_id: st
     small_batches(vectors.sparkSession)
     vectors = vectors.select(F.col(vec_id).alias("vec_id"), F.col(label).alias("label"), F.col(embedding).alias("embedding"))
     rows = usable(vectors)
-    groups = rows.groupBy("label", "values").agg(F.min("vec_id").alias("rep"), F.count("*").alias("weight"))
-    groups = written(groups.withColumn("width", F.size("values")), "vector-groups")
-    width = groups.agg(F.max("width")).first()[0] or 1
-    made = written(tiles(_turned(groups, basis(groups, width))), "tiles")
-    found = written(compared(made, threshold), "vector-links")
+    groups = rows.groupBy("same").agg(F.min("vec_id").alias("rep"), F.count("*").alias("weight"), F.min_by("values", "vec_id").alias("values"))
+    groups = written(groups.select("same", "same.label", "rep", "weight", F.size("values").alias("width"), "values"), "vector-groups")
+    n_rows, width = groups.agg(F.sum("weight"), F.max("width")).first()
+    directions = vectors.sparkSession.sparkContext.broadcast(basis(groups, width or 1))  # dimension squared
+    number = _number(groups)
+    made = written(tiles(_led(groups.select("label", "rep", "weight", "width", "values"), directions), directions, number), "tiles")
+    found = written(compared(made, directions, number, threshold), "vector-links")
     linked = found.groupBy("id").agg(F.sum("weight").alias("linked"))
-    own = groups.join(linked, groups["rep"] == linked["id"], "left").drop("id")
     joined = components(found.where("to is not null"), "id", "to")
-    own = own.join(joined, own["rep"] == joined["id"], "left")
-    own = own.select("label", "values", (F.coalesce("linked", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("component_id", "rep").alias("component_id"))
-    linked_rows = rows.join(own, ["label", "values"]).select("vec_id", "n_links", "component_id")
+    own = groups.select("same", "rep", "weight").join(linked, F.col("rep") == F.col("id"), "left").drop("id").join(joined, F.col("rep") == F.col("id"), "left")
+    own = own.select("same", (F.coalesce("linked", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("component_id", "rep").alias("component_id"))
+    hot = hot_keys(groups, "same", "weight", n_rows or 0)
+    linked_rows = spread_join(rows.select("vec_id", "same"), own, "same", hot, ["vec_id"]).select("vec_id", "n_links", "component_id")
     alone = vectors.where(~_can_link()).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return linked_rows.unionByName(alone).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))

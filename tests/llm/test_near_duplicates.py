@@ -70,6 +70,12 @@ def test_vectors(spark):
     assert sorted(map(tuple, found), key=str) == brute_vectors(rows)
 
 
+def test_vectors_in_double_precision(spark):
+    rows = some_vectors(120)
+    doubles = spark.createDataFrame([(*r[:2], str(r[2]) if r[2] is not None else None) for r in rows], "vec_id int, embedding array<double>, label string")
+    assert sorted(map(tuple, embed_dedup.near_duplicates(doubles).collect()), key=str) == brute_vectors(rows)
+
+
 def test_small_tiles_give_the_same(spark, monkeypatch):
     monkeypatch.setattr(embed_dedup, "TILE", 16)
     rows = some_vectors()

@@ -1,18 +1,22 @@
 """URL filter: a blocked Bloom filter passes possible hits to an exact join.
 
 Listed URLs are canonicalised and hashed into a filter of 64-bit blocks; every listed URL sets
-``BITS_PER_URL`` bits of one block. A page whose bits are all set is a possible hit; an exact
-join on the canonical URL removes the false positives, so the result never depends on the
-filter's size. Host rules (allow or block by host and path prefix) come before the list.
+``BITS_PER_URL`` bits of one block. Each page probes the filter where it is; a page whose bits are
+all set is a possible hit, and only these are shuffled, to an exact join on the canonical URL that
+removes the false positives, so the result never depends on the filter's size. Host rules (allow or block by host and path prefix) come before the list.
 
 Defined results: a null URL, or one without ``://``, has an empty host and path, fits no rule
-and is allowed; repeated rows are judged each on its own; an empty list blocks nothing.
+and is allowed; repeated rows are judged each on its own; an empty list blocks nothing. Columns named
+host, path, canonical_url, rule or verdict are replaced.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import AtomicType
+
+from barkeep.llm._util import free_name, hot_keys, spread_join, written
 
 #: Bits that a listed URL sets in its block; expected URLs to a 64-bit block.
 BITS_PER_URL, URLS_PER_BLOCK = 4, 4
@@ -59,26 +63,36 @@ def bloom_blocks(listed: DataFrame, key: str, n_blocks: int) -> DataFrame:
     return listed.select(_block(F.col(key), n_blocks).alias("block"), _bits(F.col(key)).alias("mask")).groupBy("block").agg(F.bit_or("mask").alias("mask"))
 
 
-def listed_keys(pages: DataFrame, listed: DataFrame, key: str = "canonical_url") -> DataFrame:
-    """Distinct keys of ``pages`` that are in ``listed``; both have the column ``key``.
+def possible_hits(pages: DataFrame, listed: DataFrame, key: str, to: str) -> DataFrame:
+    """``pages`` with the column ``to``: whether the filter of the distinct keys of ``listed`` passes the row's key.
 
-    The filter holds 64 bits for every URLS_PER_BLOCK listed URLs, so its size follows the list.
-    It is broadcast only up to BROADCAST_BLOCKS blocks, and joined by block beyond that.
+    The filter holds 64 bits for every URLS_PER_BLOCK listed URLs, so its size follows the list. Up to
+    BROADCAST_BLOCKS blocks it is broadcast and each row is probed where it is; a larger one is
+    joined by block, rows without key by the partition that they are in.
     """
-    listed = listed.select(key).where(F.col(key).isNotNull()).distinct()
+    block, mask = free_name(pages, "block"), free_name(pages, "mask")
     n_blocks = max(1, -(-listed.count() // URLS_PER_BLOCK))
-    blocks = bloom_blocks(listed, key, n_blocks)
+    blocks = bloom_blocks(listed, key, n_blocks).withColumnsRenamed({"block": block, "mask": mask})
+    at = _block(F.col(key), n_blocks)
     if n_blocks <= BROADCAST_BLOCKS:
         blocks = F.broadcast(blocks)
-    keys = pages.select(key).where(F.col(key).isNotNull()).distinct()
-    possible = (
-        keys.withColumn("block", _block(F.col(key), n_blocks))
-        .withColumn("bits", _bits(F.col(key)))
-        .join(blocks, "block")
-        .where(F.col("mask").bitwiseAND(F.col("bits")) == F.col("bits"))
-        .select(key)
-    )
-    return possible.join(listed, key, "left_semi")
+    own = F.when(F.col(key).isNull(), -1 - F.spark_partition_id()).otherwise(at)
+    bits = _bits(F.col(key))
+    probed = pages.withColumn(block, own).join(blocks, block, "left")
+    return probed.withColumn(to, F.coalesce(F.col(key).isNotNull() & (F.col(mask).bitwiseAND(bits) == bits), F.lit(False))).drop(block, mask)
+
+
+def with_listed(pages: DataFrame, listed: DataFrame, key: str, to: str) -> DataFrame:
+    """``pages`` with the column ``to``: whether ``listed`` has the row's key. Only possible hits are joined with the list; all other rows stay where they are."""
+    listed = listed.select(key).where(F.col(key).isNotNull()).distinct()
+    possible = free_name(pages, "possible")
+    probed = possible_hits(pages, listed, key, possible)
+    hits, others = probed.where(F.col(possible)).drop(possible), probed.where(~F.col(possible)).drop(possible)
+    counts = written(hits.groupBy(key).count(), "hits")
+    hot = hot_keys(counts, key, "count", counts.agg(F.sum("count")).first()[0] or 0)
+    by = [f"`{f.name}`" for f in pages.schema.fields if isinstance(f.dataType, AtomicType)]
+    exact = spread_join(hits, listed.withColumn(to, F.lit(True)), key, hot, by, "left")
+    return exact.withColumn(to, F.coalesce(to, F.lit(False))).unionByName(others.withColumn(to, F.lit(False)))
 
 
 def rule_of(host: Column, path: Column, rules: list[tuple[str, str]]) -> tuple[Column, Column]:
@@ -101,7 +115,7 @@ def judge(pages: DataFrame, listed: DataFrame, rules: list[tuple[str, str]], url
     out = pages.withColumns(added)
     out = out.withColumn("canonical_url", F.when(F.col("host") != "", canonical(F.col("host"), F.col("path"))))
     black = listed.select(canonical(host_of(F.col(url)), path_of(F.col(url))).alias("canonical_url"))
-    hits = listed_keys(out, black).select("canonical_url", F.lit(True).alias("__listed"))
+    is_listed = free_name(out, "listed")
+    out = with_listed(out, black, "canonical_url", is_listed)
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
-    out = out.join(hits, "canonical_url", "left")
-    return out.withColumns({"rule": rule, "verdict": F.coalesce(verdict, F.when(F.col("__listed"), "block").otherwise("allow"))}).drop("__listed")
+    return out.withColumns({"rule": rule, "verdict": F.coalesce(verdict, F.when(F.col(is_listed), "block").otherwise("allow"))}).drop(is_listed)

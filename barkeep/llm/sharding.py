@@ -2,8 +2,9 @@
 
 Rows with equal text form one group, which is never split. Groups are ordered by the SHA-256
 of their text; the smallest capacity is sought for which cutting greedily along that order
-needs no more than the wanted number of shards, and the cuts are made there. So shards have
-sizes as near equal as contiguous cuts allow, and the largest is as small as it can be.
+needs no more than the wanted number of shards. So the largest shard is as small as it can be. The
+cuts are then made where the shards' sizes come nearest to equal without any going beyond
+that capacity, so the last one isn't left with what greedy cuts leave over.
 
 How it runs: only digests and sizes are shuffled, never texts. One table of groups (digest,
 offset of its first byte in the order) is written. The search tests PROBES capacities at a
@@ -13,8 +14,8 @@ Slots are numbered in cells of (shard, hash of the id), so a shard with most of
 numbered by many tasks.
 
 Defined results: a null text has size OVERHEAD and belongs to the group of the empty text;
-repeated rows are kept, each with its own slot; an empty table gives no rows; fewer groups
-than shards leave the last shards empty.
+repeated rows are kept, each with its own slot; an empty table gives no rows; a group larger than a
+share, or fewer groups than shards, leave some shards empty.
 """
 
 from __future__ import annotations
@@ -33,6 +34,8 @@ OVERHEAD = 16
 RANGE_BITS = 12
 #: Capacities tested at once, and groups among which the driver ends the search.
 PROBES, WINDOW_GROUPS = 256, 20_000
+#: Edges of groups on either side of an even share that are tried as its cut.
+EDGES = 6
 #: Rows of a shard that one task numbers, about.
 CELL_ROWS = 50_000
 
@@ -63,14 +66,14 @@ def ordered_groups(rows: DataFrame) -> tuple[DataFrame, dict[int, int], int, int
     return written(groups, "ordered-groups"), starts, total, largest
 
 
-def _cuts_below(groups: DataFrame, starts: dict[int, int], targets: list[int]) -> list[int]:
-    """For each target the start of the group that holds that byte: where a shard must end at the latest."""
+def _holding(groups: DataFrame, starts: dict[int, int], targets: list[int]) -> list[tuple[int, int]]:
+    """For each target the start and the end of the group that holds that byte."""
     ranges, edges = list(starts), list(starts.values())
     at = sorted({ranges[bisect_right(edges, t) - 1] for t in targets})
     wanted = F.split(F.lit(" ".join(map(str, sorted({*targets})))), " ")
     held = F.filter(F.transform(wanted, lambda t: t.cast("long")), lambda t: (F.col("start") <= t) & (t < F.col("start") + F.col("size")))
     near = groups.where(F.col("range").between(at[0], at[-1]) & (F.col("start") <= max(targets)) & (F.col("start") + F.col("size") > min(targets)))
-    found = dict(near.select(F.explode(held).alias("target"), "start").collect())
+    found = {t: (first, first + size) for t, first, size in near.select(F.explode(held).alias("target"), "start", "size").collect()}
     return [found[t] for t in targets]
 
 
@@ -114,7 +117,7 @@ def smallest_capacity(groups: DataFrame, starts: dict[int, int], total: int, lar
                     low = middle + 1
             return low, _paths(at, [low], total, n_shards)[0]
         tried = sorted({*range(low, high, -(-(high - low + 1) // PROBES)), high})
-        paths = _paths(lambda targets: _cuts_below(groups, starts, targets), tried, total, n_shards)
+        paths = _paths(lambda targets: [first for first, _ in _holding(groups, starts, targets)], tried, total, n_shards)
         best = next(i for i, p in enumerate(paths) if len(p) < n_shards)
         before = paths[best - 1] if best else [w[0] for w in windows]
         low, high = tried[best - 1] + 1 if best else low, tried[best]
@@ -124,6 +127,64 @@ def smallest_capacity(groups: DataFrame, starts: dict[int, int], total: int, lar
         windows = list(zip(padded(before), padded(paths[best]), strict=True))
 
 
+def near_equal_cuts(holding: Callable[[list[int]], list[tuple[int, int]]], capacity: int, total: int, n_shards: int) -> list[int]:
+    """The offsets at which shards 1, 2, ... begin, such that none is larger than ``capacity`` and the smallest is as large as can be.
+
+    Each cut is sought among the EDGES edges of groups on either side of its even share. Where these
+    don't do, as with groups larger than a share, each cut is taken as near to its share as its feasible
+    window allows: not before the first edge from which the shards behind it suffice, nor past the
+    capacity of the shard that it ends. That takes a lookup for each shard.
+    """
+    aims = [k * total // n_shards for k in range(1, n_shards)]
+    if not aims:
+        return []
+    down, up = map(list, zip(*holding(aims), strict=True))
+    near = [{*x} for x in zip(down, up, strict=True)]
+    for _ in range(EDGES - 1):
+        below, above = [k for k, edge in enumerate(down) if edge > 0], [k for k, edge in enumerate(up) if edge < total]
+        found = holding([down[k] - 1 for k in below] + [up[k] for k in above]) if below or above else []
+        for k, (first, _) in zip(below, found, strict=False):
+            down[k] = first
+        for k, (_, last) in zip(above, found[len(below) :], strict=True):
+            up[k] = last
+        for own, *ends in zip(near, down, up, strict=True):
+            own.update(ends)
+    return _widest(near, capacity, total) or _feasible(holding, aims, near, capacity, total)
+
+
+def _widest(near: list[set[int]], capacity: int, total: int) -> list[int]:
+    """One of the edges near each aim, so that the smallest shard is as large as can be; none if no choice keeps the capacity."""
+    best: dict[int, tuple[int, list[int]]] = {0: (total, [])}  # of each last cut: the smallest shard so far and the cuts
+    for edges in [*near, {total}]:
+        grown = {}
+        for edge in edges:
+            paths = [(min(least, edge - last), cuts) for last, (least, cuts) in best.items() if 0 <= edge - last <= capacity]
+            if paths:
+                least, cuts = max(paths)
+                grown[edge] = (least, [*cuts, edge])
+        best = grown
+    return best[total][1][:-1] if best else []
+
+
+def _feasible(holding: Callable[[list[int]], list[tuple[int, int]]], aims: list[int], near: list[set[int]], capacity: int, total: int) -> list[int]:
+    earliest, at = [], total
+    for _ in aims:
+        if at > capacity:
+            first, last = holding([at - capacity])[0]
+            at = first if first == at - capacity else last
+        else:
+            at = 0
+        earliest.insert(0, at)
+    cuts, before = [], 0
+    for low, aim, edges in zip(earliest, aims, near, strict=True):
+        cut = min(edges, key=lambda edge: (abs(edge - aim), edge))
+        if cut > before + capacity:
+            cut = holding([before + capacity])[0][0]
+        cuts.append(max(cut, low))
+        before = cuts[-1]
+    return cuts
+
+
 def shard_of(digest: Column, cut_digests: list[str]) -> Column:
     """The number of cuts at or before a digest."""
     if not cut_digests:
@@ -143,7 +204,8 @@ def minimax_shards(docs: DataFrame, n_shards: int, doc_id: str = "doc_id", text:
     groups, starts, total, largest = ordered_groups(rows.select("digest", "size"))
     cut_digests: list[str] = []
     if total:
-        _, cuts = smallest_capacity(groups, starts, total, largest, n_shards)
+        capacity, _ = smallest_capacity(groups, starts, total, largest, n_shards)
+        cuts = near_equal_cuts(lambda targets: _holding(groups, starts, targets), capacity, total, n_shards)
         at = F.broadcast(long_table(docs.sparkSession, cut=cuts))
         cut_digests = sorted(r[0] for r in groups.join(at, F.col("start") == F.col("cut")).select("digest").collect())
     placed = rows.withColumn("shard", shard_of(F.col("digest"), cut_digests)).drop("digest")

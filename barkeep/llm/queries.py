@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from barkeep.llm import bpe, embed_dedup, fingerprint, jaccard_join, packing, pii, quality, sharding, token_count, url_filter
-from barkeep.llm._util import table
+from barkeep.llm._util import table, written
 from barkeep.llm.oracles import LISTED_HOSTS, ORACLES, RULES
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -76,8 +76,10 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document under four edits: an insertion, a deletion, a replaced middle and a replaced end."""
-    text, n = F.coalesce(F.col("text"), F.lit("")), F.char_length(F.coalesce(F.col("text"), F.lit("")))
+    """Trees of all documents, written and kept, and each under four edits: an insertion, a deletion, a replaced middle and a replaced end."""
+    docs = table(spark, sf_dir, "documents")
+    trees = written(token_count.grown(docs, public_tokenizers.path(RANKS), public_tokenizers.PATTERN), "token-trees", compression="zstd")
+    text, n = F.col("text"), F.char_length("text")
     at = lambda share: F.floor(n * share).cast("int")
     edit = lambda start, end, new: F.struct(start.alias("start"), end.alias("end"), new.alias("text"))
     edits = F.array(
@@ -86,9 +88,8 @@ def op10_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
         edit(at(0.7), at(0.7) + 40, F.substring(text, at(0.1) + 1, F.lit(30))),
         edit(F.greatest(n - 15, F.lit(0)), n, F.lit("the end")),
     )
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", edits.alias("edits"))
-    out = token_count.count_with_edits(docs, public_tokenizers.path(RANKS), public_tokenizers.PATTERN)
-    return out.select("doc_id", "n_tokens", "edited_n_tokens", "n_pretokens", "n_encoded_again", F.sha2("edited_text", 256).alias("edited_sha256"))
+    out = token_count.edited(trees.withColumn("edits", edits), public_tokenizers.path(RANKS), public_tokenizers.PATTERN)
+    return out.select("doc_id", F.col("n_tokens_before").alias("n_tokens"), F.col("n_tokens").alias("edited_n_tokens"), "n_pretokens", "n_encoded_again", F.sha2("text", 256).alias("edited_sha256"))
 
 
 QUERIES = {q.__name__: q for q in (op1_byte_bpe, op2_embedding_dedup, op3_sharding, op4_quality, op5_jaccard_join, op6_url_filter, op7_fingerprint, op8_packing, op9_pii, op10_token_count)}

@@ -73,37 +73,85 @@ def test_operator_keeps_clashing_columns(odd_docs, no_docs):
     assert bpe.encode(no_docs, PATH, PATTERN).count() == 0
 
 
+def grown(coder, text):
+    words = coder.split(text)
+    return token_count.TokenTree.grown(text, words, coder.counts(words))
+
+
 def test_trees_follow_edits(coder, theirs):
+    """Trees that are stored and read again between edits count as the reference encoder does."""
     rnd = random.Random(3)
     for _ in range(300):
         text = odd_text(rnd) + "the river and the stone. " * rnd.randrange(40) + odd_text(rnd)
-        words = coder.split(text)
-        tree = token_count.TokenTree(coder, words, coder.counts(words))
+        tree = grown(coder, text)
         for _ in range(6):
             start = rnd.randrange(len(text) + 1)
             end = min(len(text), start + rnd.choice([0, 0, 1, 5, 100, 900]))
             new = rnd.choice(["", " ", "a", "  ", "'", "re", "\n\n", " word", odd_text(rnd), "x y " * 400])
-            tree.edit(start, end, new)
+            token_count.edit(coder, tree, start, end, new)
             text = text[:start] + new + text[end:]
-            assert tree.text() == text and tree.n_tokens == len(theirs(text))
+            if rnd.random() < 0.5:
+                tree = token_count.TokenTree.kept(tree.text, tree.parts())
+            fresh = grown(coder, text)
+            assert tree.text == text and tree.n_tokens == len(theirs(text)) and tree.n_pretokens == fresh.n_pretokens
+            tree._settle()
+            assert tree.lengths.tolist() == fresh.lengths.tolist() and tree.counts.tolist() == fresh.counts.tolist()
 
 
-def test_edits_encode_little(coder):
-    text = "the river and the stone. " * 4000
-    words = coder.split(text)
-    tree = token_count.TokenTree(coder, words, coder.counts(words))
-    tree.edit(50_000, 50_003, "new words")
-    assert tree.encoded - len(words) < 3 * token_count.LEAF
+class Watched:
+    """A coder that counts the characters that it is given."""
+
+    def __init__(self, coder):
+        self.coder, self.seen = coder, 0
+
+    def split(self, text):
+        self.seen += len(text)
+        return self.coder.split(text)
+
+    def counts(self, words):
+        return self.coder.counts(words)
+
+
+@pytest.mark.parametrize("times", [400, 40_000])
+def test_no_edit_takes_a_whole_text(coder, times):
+    """What a kept tree gives to the coder follows the edit, however long the text is."""
+    text = "the river and the stone. " * times
+    parts = grown(coder, text).parts()
+    watched = Watched(coder)
+    tree = token_count.TokenTree.kept(text, parts)
+    token_count.edit(watched, tree, len(text) // 2, len(text) // 2 + 3, "new words")
+    token_count.edit(watched, tree, 10, 10, "more ")
+    assert watched.seen < 3000 and tree.encoded < 6 * token_count.LEAF
 
 
 def test_counts_of_odd_documents(spark, odd_docs, odd_rows, no_docs, theirs, tmp_path):
     odd_docs.write.parquet(f"{tmp_path}/documents.parquet")
     found = queries.op10_token_count(spark, str(tmp_path)).collect()
-    assert sorted((r["doc_id"] or -1, r["n_tokens"]) for r in found) == sorted((d or -1, len(theirs(t or ""))) for d, t, *_ in odd_rows)
+
+    def changed(text):
+        at = lambda share: int(len(text) * share)
+        edits = [(at(0.3), at(0.3), text[:20]), (at(0.5), at(0.5) + 25, ""), (at(0.7), at(0.7) + 40, text[at(0.1) : at(0.1) + 30]), (max(0, len(text) - 15), len(text), "the end")]
+        for start, end, new in edits:
+            start, end = min(start, len(text)), min(end, len(text))
+            text = text[:start] + new + text[end:]
+        return text
+
+    want = [(d, len(theirs(t or "")), len(theirs(changed(t or ""))), sha256(changed(t or "").encode()).hexdigest()) for d, t, *_ in odd_rows]
+    assert sorted(map(str, ((r["doc_id"], r["n_tokens"], r["edited_n_tokens"], r["edited_sha256"]) for r in found))) == sorted(map(str, want))
+
+    trees = token_count.grown(odd_docs.withColumnRenamed("source", "chars"), PATH, PATTERN)
     edits = F.array(F.struct(F.lit(-5).alias("start"), F.lit(2).alias("end"), F.lit("He").alias("text")), F.struct(F.lit(4).alias("start"), F.lit(10**6).alias("end"), F.lit(None).cast("string").alias("text")))
-    rows = token_count.count_with_edits(odd_docs.withColumn("edits", edits), PATH, PATTERN).collect()
-    texts = {r["edited_text"] for r in rows}
-    assert texts == {("He" + (t or "")[2:])[:4] for _, t, *_ in odd_rows}
-    assert all(r["edited_n_tokens"] == len(theirs(r["edited_text"])) for r in rows)
-    assert token_count.count_with_edits(no_docs.withColumn("edits", edits), PATH, PATTERN).count() == 0
-    assert all(r["n_encoded_again"] == 0 for r in token_count.count_with_edits(odd_docs.withColumn("edits", F.lit(None).cast("array<struct<start:int,end:int,text:string>>")), PATH, PATTERN).collect())
+    rows = token_count.edited(trees.withColumn("edits", edits), PATH, PATTERN).collect()
+    assert {r["text"] for r in rows} == {("He" + (t or "")[2:])[:4] for _, t, *_ in odd_rows}
+    assert all(r["n_tokens"] == len(theirs(r["text"])) for r in rows)
+    assert token_count.grown(no_docs, PATH, PATTERN).count() == 0
+    none = token_count.edited(trees.withColumn("edits", F.lit(None).cast("array<struct<start:int,end:int,text:string>>")), PATH, PATTERN).collect()
+    assert len(none) == len(odd_rows) and all(r["n_encoded_again"] == 0 and r["n_tokens"] == r["n_tokens_before"] for r in none)
+
+
+def test_only_edited_documents_are_read(spark, odd_docs, theirs):
+    """A table of edits joined with the kept trees: the second pass has a row for each edited document."""
+    trees = token_count.grown(odd_docs.where("doc_id is not null"), PATH, PATTERN)
+    edits = spark.createDataFrame([(4, [(0, 0, "New ")]), (7, [(3, 9, "x")])], "doc_id long, edits array<struct<start:int,end:int,text:string>>")
+    rows = token_count.edited(trees.join(edits, "doc_id"), PATH, PATTERN).collect()
+    assert {r["doc_id"] for r in rows} == {4, 7} and all(r["n_tokens"] == len(theirs(r["text"])) for r in rows)

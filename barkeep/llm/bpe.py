@@ -124,7 +124,7 @@ class ByteBpe:
             new = list({p for p in pretokens if p not in cache})
             encoded = self.encode_pretokens([[p] for p in new])
             own = {p: len(ids) for p, ids in zip(new, encoded, strict=True)}
-            return [own[p] if p in own else len(self._ids(p)) for p in pretokens]
+            return [own[p] if p in own else len(cache[p]) if p in cache else len(self._ids(p)) for p in pretokens]
 
     def _ids(self, pretoken: str) -> tuple[int, ...]:
         found = self.cache.get(pretoken)

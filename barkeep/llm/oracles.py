@@ -52,4 +52,9 @@ def _jaccard_sql() -> str:
     SELECT doc_id, n AS n_shingles, least(doc_id, coalesce(root, doc_id)) AS component_id FROM sizes LEFT JOIN roots ON a = doc_id"""
 
 
-ORACLES = {"op2_embedding_dedup": _embedding_sql(), "op5_jaccard_join": _jaccard_sql(), "op6_url_filter": _url_sql()}
+_EXACT = r"""WITH d AS (SELECT doc_id, length(coalesce(text, '')) AS n, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', '', 'g')) AS s FROM documents),
+    k AS (SELECT doc_id, s, first_value(doc_id) OVER (PARTITION BY s ORDER BY n DESC, doc_id) AS keep_id, count(*) OVER (PARTITION BY s) AS group_size FROM d)
+    SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, s AS text_sha256 FROM k"""
+
+
+ORACLES = {"op11_exact_dedup": _EXACT, "op2_embedding_dedup": _embedding_sql(), "op5_jaccard_join": _jaccard_sql(), "op6_url_filter": _url_sql()}

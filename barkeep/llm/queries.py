@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barkeep.llm import bpe, embed_dedup, fingerprint, jaccard_join, packing, pii, quality, sharding, token_count, url_filter
+from barkeep.llm import bpe, embed_dedup, exact_dedup, fingerprint, jaccard_join, packing, pii, quality, sharding, token_count, url_filter
 from barkeep.llm._util import table, written
 from barkeep.llm.oracles import LISTED_HOSTS, ORACLES, RULES
 
@@ -92,4 +92,8 @@ def op10_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.col("n_tokens_before").alias("n_tokens"), F.col("n_tokens").alias("edited_n_tokens"), "n_pretokens", "n_encoded_again", F.sha2("text", 256).alias("edited_sha256"))
 
 
-QUERIES = {q.__name__: q for q in (op1_byte_bpe, op2_embedding_dedup, op3_sharding, op4_quality, op5_jaccard_join, op6_url_filter, op7_fingerprint, op8_packing, op9_pii, op10_token_count)}
+def op11_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.exact_duplicates(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {q.__name__: q for q in (op1_byte_bpe, op2_embedding_dedup, op3_sharding, op4_quality, op5_jaccard_join, op6_url_filter, op7_fingerprint, op8_packing, op9_pii, op10_token_count, op11_exact_dedup)}

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from barkeep.llm.embed_dedup import THRESHOLD
 from barkeep.llm.jaccard_join import PERCENT, SHINGLE
+from barkeep.llm.vector_codes import ENTRIES, PARTS, ROUNDS, SCALE
 
 # Rules and listed hosts of the URL query.
 RULES = [("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/")]
@@ -57,4 +58,21 @@ _EXACT = r"""WITH d AS (SELECT doc_id, length(coalesce(text, '')) AS n, sha256(r
     SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, s AS text_sha256 FROM k"""
 
 
-ORACLES = {"op11_exact_dedup": _EXACT, "op2_embedding_dedup": _embedding_sql(), "op5_jaccard_join": _jaccard_sql(), "op6_url_filter": _url_sql()}
+def _codes_sql() -> str:
+    """Vectors as (i, p, j, x) and codebooks as (p, e, j, y), one pair of tables for each round."""
+    near = """SELECT i, p, arg_min(e, (d, e)) AS e, min(d) AS d FROM (SELECT i, x.p, b.e, CAST(sum((x - y) * (x - y)) AS BIGINT) AS d FROM x JOIN b{0} b ON x.p = b.p AND x.j = b.j GROUP BY ALL) GROUP BY ALL"""
+    rounds = "".join(
+        f"""a{k} AS MATERIALIZED ({near.format(k)}),
+    b{k + 1} AS MATERIALIZED (SELECT p, e, j, CAST(coalesce(m, y) AS BIGINT) AS y FROM b{k} LEFT JOIN (SELECT p, e, j, (sum(x) - ((sum(x) % count(*)) + count(*)) % count(*)) // count(*) AS m FROM x JOIN a{k} USING (i, p) GROUP BY ALL) USING (p, e, j)),
+    """
+        for k in range(ROUNDS)
+    )
+    return f"""WITH kept AS (SELECT vec_id, label, embedding AS v, row_number() OVER (ORDER BY vec_id) - 1 AS i FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
+    x AS MATERIALIZED (SELECT i, (n - 1) // (w // {PARTS}) AS p, (n - 1) % (w // {PARTS}) AS j, x FROM (SELECT i, len(v) AS w, unnest(range(1, len(v) + 1)) AS n, CAST(floor({SCALE} * CAST(unnest(v) AS DOUBLE)) AS BIGINT) AS x FROM kept)),
+    b0 AS MATERIALIZED (SELECT p, i AS e, j, x AS y FROM x WHERE i < {ENTRIES}),
+    {rounds}last AS MATERIALIZED ({near.format(ROUNDS)}),
+    coded AS (SELECT i, string_agg(printf('%02x', e), '' ORDER BY p) AS code, CAST(sum(d) AS BIGINT) AS error FROM last GROUP BY i)
+    SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, (SELECT sha256(string_agg(CAST(y AS VARCHAR), ',' ORDER BY p, e, j)) FROM b{ROUNDS}) AS codebooks_sha256 FROM kept JOIN coded USING (i)"""
+
+
+ORACLES = {"op12_vector_codes": _codes_sql(), "op11_exact_dedup": _EXACT, "op2_embedding_dedup": _embedding_sql(), "op5_jaccard_join": _jaccard_sql(), "op6_url_filter": _url_sql()}

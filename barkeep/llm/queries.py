@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barkeep.llm import bpe, embed_dedup, exact_dedup, fingerprint, jaccard_join, packing, pii, quality, sharding, token_count, url_filter, vector_codes
+from barkeep.llm import bpe, embed_dedup, exact_dedup, fingerprint, jaccard_join, packing, pii, quality, sharding, spelling, token_count, url_filter, vector_codes
 from barkeep.llm._util import table, written
 from barkeep.llm.oracles import LISTED_HOSTS, ORACLES, RULES
 
@@ -100,4 +100,8 @@ def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_codes.codes(table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {q.__name__: q for q in (op1_byte_bpe, op2_embedding_dedup, op3_sharding, op4_quality, op5_jaccard_join, op6_url_filter, op7_fingerprint, op8_packing, op9_pii, op10_token_count, op11_exact_dedup, op12_vector_codes)}
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {q.__name__: q for q in (op1_byte_bpe, op2_embedding_dedup, op3_sharding, op4_quality, op5_jaccard_join, op6_url_filter, op7_fingerprint, op8_packing, op9_pii, op10_token_count, op11_exact_dedup, op12_vector_codes, op13_spelling_variants)}

@@ -26,8 +26,8 @@ from pyspark.sql.pandas.types import to_arrow_type
 from barkeep.llm._util import hot_keys, spread_join, written
 
 PARTS, ENTRIES, ROUNDS, SCALE = 4, 256, 4, 1024
-#: Vectors of one tree, parts of a leaf, and numbers that are compared at once.
-BLOCK, LEAF, TOGETHER = 4_096, 16, 1 << 22
+#: Vectors of one tree, and parts of a leaf.
+BLOCK, LEAF = 4_096, 64
 
 
 def _fits(vector: Column) -> Column:
@@ -134,22 +134,15 @@ def assign(tree: Tree, entries: Tree, number: np.ndarray) -> tuple[np.ndarray, n
 
 def _compared(tree: Tree, entries: Tree, number: np.ndarray, q: np.ndarray, e: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The parts of the leaves q, each compared with all entries e that its leaf has left."""
-    edges = tree.levels[-1]
-    best, code = np.full(len(tree.points), np.iinfo(np.int64).max), np.full(len(tree.points), len(number))
-    step = max(1, TOGETHER // (LEAF * tree.points.shape[1]))
-    for at in range(0, len(q), step):  # a part may meet its entries in two steps
-        own, entry = q[at : at + step], e[at : at + step]
-        count = edges[own + 1] - edges[own]
-        part, entry = _spread(edges[own], count), np.repeat(entry, count)
-        apart = tree.points[part] - entries.points[entry]
-        square, named = (apart * apart).sum(axis=1), number[entry]
-        was = best[part]
-        np.minimum.at(best, part, square)
-        code[part[best[part] < was]] = len(number)
-        tie = square == best[part]
-        np.minimum.at(code, part[tie], named[tie])
-    rows = np.flatnonzero(code < len(number))
-    return rows, rows + 1, code[rows]
+    edges, at = tree.levels[-1], _groups(q)
+    squares = (entries.points * entries.points).sum(axis=1)
+    leaves, codes = q[at], [np.zeros(0, np.int64)]
+    for leaf, left in zip(leaves, np.split(e, at[1:])):
+        left = left[np.argsort(number[left])]  # the first of several minima is the lowest number
+        apart = squares[left] - 2 * (tree.points[edges[leaf] : edges[leaf + 1]] @ entries.points[left].T)  # less the square of the part, which is the same for all
+        codes.append(number[left[apart.argmin(axis=1)]])
+    rows = _spread(edges[leaves], edges[leaves + 1] - edges[leaves])
+    return rows, rows + 1, np.concatenate(codes)
 
 
 def _blocks(width: int, label_type: pa.DataType):

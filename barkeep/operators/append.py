@@ -1,4 +1,7 @@
-"""What of the incoming rows is new. Stored and incoming rows have (symbol, ts, ...), incoming ones also pos, their order."""
+"""What of the incoming rows is new. Stored and incoming rows have (symbol, ts, ...), incoming ones also pos, a whole number that orders them.
+
+Running maxima and numbers go by blocks of positions, so no symbol is one task's burden.
+"""
 
 from __future__ import annotations
 
@@ -6,6 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from barkeep.functions.lines import batch_number
+from barkeep.operators import blocks
 
 
 def last_times(stored: DataFrame) -> DataFrame:
@@ -27,9 +31,9 @@ def append_monotonic(incoming: DataFrame, stored: DataFrame, floor: int = 0) ->
 
     Rows that the stored time already excludes are dropped before the window; they can't raise its maximum.
     """
-    before = F.max("ts").over(Window.partitionBy("symbol").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1))
-    rows = append_static(incoming, stored, floor).withColumn("top", before)
-    return rows.where("top is null or ts > top").drop("top")
+    rows = append_static(incoming, stored, floor).withColumn("_block", blocks.of_position(F.col("pos")))
+    rows = blocks.running_max(rows, "symbol", ["_block"], [F.col("pos")], F.col("ts"), "_top")
+    return rows.where("_top is null or ts > _top").drop("_top", "_block")
 
 
 def append_archives(incoming: DataFrame, stored: DataFrame, floor: int = 0) -> DataFrame:
@@ -43,9 +47,9 @@ def append_archives(incoming: DataFrame, stored: DataFrame, floor: int = 0) -> D
 
 def take_until_known(pages: DataFrame, stored: DataFrame, floor: int = 0) -> DataFrame:
     """Newest-first pages (page, pos) up to the first row that is already stored; later rows are ignored even if new."""
-    rows = _after(pages, stored, floor)
-    known = F.max((F.col("ts") <= F.col("last_ts")).cast("int")).over(Window.partitionBy("symbol").orderBy("page", "pos"))
-    return rows.withColumn("seen", known).where("seen = 0").drop("seen", "last_ts")
+    rows = _after(pages, stored, floor).withColumns({"_known": (F.col("ts") <= F.col("last_ts")).cast("int"), "_block": blocks.of_position(F.col("pos"))})
+    rows = blocks.running_max(rows, "symbol", ["page", "_block"], [F.col("pos")], F.col("_known"), "_seen")
+    return rows.where("_known = 0 and coalesce(_seen, 0) = 0").drop("_known", "_seen", "_block", "last_ts")
 
 
 def union_bulk_recent(bulk: DataFrame, recent: DataFrame) -> DataFrame:
@@ -69,8 +73,8 @@ def staged_names(staged: DataFrame) -> DataFrame:
 
 def merge_staged(staged: DataFrame) -> DataFrame:
     """Staged rows in order of time: the highest batch holds the oldest rows. seq numbers them within the symbol, from 1."""
-    order = Window.partitionBy("symbol").orderBy(F.desc("batch_no"), "pos")
-    return staged.withColumn("seq", F.row_number().over(order).cast("long"))
+    rows = staged.withColumns({"_back": -F.col("batch_no"), "_block": blocks.of_position(F.col("pos"))})
+    return blocks.numbered(rows, "symbol", ["_back", "_block"], [F.col("pos")], "seq").drop("_back", "_block")
 
 
 def recoverable(staged: DataFrame, committed: DataFrame) -> DataFrame:

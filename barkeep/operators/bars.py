@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from barkeep.functions.times import DAY, align_down
+from barkeep.operators import blocks
 
 
 def bars_of_ticks(ticks: DataFrame, interval_ms: int) -> DataFrame:
@@ -24,8 +25,8 @@ def resample(bars: DataFrame, interval_ms: int) -> DataFrame:
 
 
 def sorted_bars(bars: DataFrame) -> DataFrame:
-    """Clustered by symbol, ascending in time within."""
-    return bars.repartition("symbol").sortWithinPartitions("symbol", "open_time")
+    """In ranges of symbol and time, ascending within; a large symbol has several partitions."""
+    return bars.repartitionByRange("symbol", "open_time").sortWithinPartitions("symbol", "open_time")
 
 
 def listing_dates(daily: DataFrame, symbols: DataFrame, now_ms: int) -> DataFrame:
@@ -42,13 +43,14 @@ def bootstrap(bars: DataFrame, now_ms: int, interval_ms: int, depth: int = 5000)
 
 
 def t6_records(bars: DataFrame, interval_ms: int) -> DataFrame:
-    """(symbol, close_time, open, high, low, close, f_val, volume) in single precision, newest first within each symbol."""
+    """(symbol, close_time, open, high, low, close, f_val, volume) in single precision, in ranges of symbol and time, newest first within each symbol."""
     single = [F.col(c).cast("float").alias(c) for c in ("open", "high", "low", "close")]
     rows = bars.select("symbol", (F.col("open_time") + interval_ms).alias("close_time"), *single, F.lit(0.0).cast("float").alias("f_val"), F.col("volume").cast("float").alias("volume"))
-    return rows.repartition("symbol").sortWithinPartitions("symbol", F.desc("close_time"))
+    return rows.repartitionByRange("symbol", F.desc("close_time")).sortWithinPartitions("symbol", F.desc("close_time"))
 
 
 def positions(bars: DataFrame, by: str, newest_first: bool) -> DataFrame:
-    """Adds rec_no, the position of a row in its symbol, from 1."""
+    """Adds rec_no, the position of a row in its symbol by its time, from 1."""
     order = F.desc(by) if newest_first else F.asc(by)
-    return bars.withColumn("rec_no", F.row_number().over(Window.partitionBy("symbol").orderBy(order)).cast("long"))
+    rows = bars.withColumn("_block", blocks.of_time(F.col(by)))
+    return blocks.numbered(rows, "symbol", ["_block"], [order], "rec_no", backwards=newest_first).drop("_block")

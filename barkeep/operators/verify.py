@@ -1,7 +1,7 @@
 """Integrity of raw lines: report, repair, torn tails.
 
-Input is (file, line_no, value) with the header at line 1. Order within a file matters, so the
-flags are windows over the file; they spill, and files are independent.
+Input is (file, line_no, value) with the header at line 1. Order within a file matters; a file is cut into
+blocks of lines or of time, and what crosses from one block to the next goes by a table of blocks.
 """
 
 from __future__ import annotations
@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from barkeep.functions import lines
 from barkeep.functions.times import minute_text
+from barkeep.operators import blocks
 from barkeep.plans.rules import LineRule
 
 #: Lines of a file that one task orders.
@@ -63,18 +64,18 @@ def with_duplicates(rows: DataFrame) -> DataFrame:
     return rows.where("accepted").withColumn("is_first", first)
 
 
-def with_deltas(unique: DataFrame, key: str = "file", ts: str = "ts") -> DataFrame:
-    """Rows of unique times with prev_ts and delta to the row before."""
-    before = F.lag(ts).over(Window.partitionBy(key).orderBy(ts))
-    return unique.withColumn("prev_ts", before).withColumn("delta", F.col(ts) - F.col("prev_ts"))
+def deltas(unique: DataFrame, interval_ms: int = 0, key: str = "file", ts: str = "ts") -> DataFrame:
+    """(key, prev_ts, ts, delta) of all neighbours in time: those within a block, and those across two."""
+    rows = blocks.neighbours(unique.select(key, ts), key, ts, interval_ms)
+    ends = rows.groupBy(key, "block").agg(F.min(ts).alias("first"), F.max(ts).alias("last"))
+    across = blocks.seams(ends, key).select(key, "prev_ts", F.col("first").alias(ts), "delta")
+    return rows.select(key, "prev_ts", ts, "delta").unionByName(across).where("delta is not null")
 
 
 def gaps(unique: DataFrame, interval_ms: int, key: str = "file", ts: str = "ts") -> DataFrame:
-    """(key, prev_ts, ts, delta, missing) where neighbours are not one interval apart; a short delta misses nothing."""
-    if not interval_ms:
-        return with_deltas(unique, key, ts).select(key, "prev_ts", ts, "delta", F.lit(0).cast("long").alias("missing")).limit(0)
-    rows = with_deltas(unique, key, ts).where(F.col("delta") != interval_ms)
-    return rows.select(key, "prev_ts", ts, "delta", F.greatest(F.expr(f"delta div {interval_ms}") - 1, F.lit(0)).alias("missing"))
+    """(key, prev_ts, ts, delta, missing) where neighbours are not one interval apart; a short delta misses nothing. Without an interval there are none."""
+    rows = deltas(unique, interval_ms, key, ts).where(F.col("delta") != interval_ms if interval_ms else F.lit(False))
+    return rows.withColumn("missing", F.greatest(F.expr(f"delta div {interval_ms or 1}") - 1, F.lit(0)))
 
 
 def _gap(interval_ms: int) -> tuple[Column, Column]:
@@ -84,11 +85,22 @@ def _gap(interval_ms: int) -> tuple[Column, Column]:
     return is_gap, F.when(is_gap & (F.col("delta") > step), F.expr(f"delta div {step}") - 1).otherwise(0)
 
 
+def _gap_counts(times: DataFrame, interval_ms: int, key: str, ts: str, sums: dict[str, Column]) -> DataFrame:
+    """(key, gaps, missing_bars, first_gap_ts, sums): of each block, then of the key, with the gaps between two blocks."""
+    is_gap, missing = _gap(interval_ms)
+    first_gap = F.when(is_gap, F.col("prev_ts"))
+    rows = blocks.neighbours(times, key, ts, interval_ms)
+    ends = rows.groupBy(key, "block").agg(
+        F.min(ts).alias("first"), F.max(ts).alias("last"), F.count_if(is_gap).alias("gaps"), F.sum(missing).alias("missing_bars"), F.min(first_gap).alias("first_gap_ts"), *[F.sum(c).alias(n) for n, c in sums.items()]
+    )
+    both = [(F.sum("gaps") + F.count_if(is_gap)).alias("gaps"), (F.sum("missing_bars") + F.sum(missing)).alias("missing_bars"), F.min(F.least("first_gap_ts", first_gap)).alias("first_gap_ts")]
+    return blocks.seams(ends, key).groupBy(key).agg(*both, *[F.sum(n).alias(n) for n in sums])
+
+
 def gap_stats(unique: DataFrame, interval_ms: int, key: str = "file", ts: str = "ts") -> DataFrame:
     """(key, n_rows, gaps, missing_bars, first_gap_ts) for every key."""
-    is_gap, missing = _gap(interval_ms)
-    rows = with_deltas(unique, key, ts)
-    return rows.groupBy(key).agg(F.count("*").alias("n_rows"), F.count_if(is_gap).alias("gaps"), F.sum(missing).alias("missing_bars"), F.min(F.when(is_gap, F.col("prev_ts"))).alias("first_gap_ts"))
+    rows = _gap_counts(unique.select(key, ts), interval_ms, key, ts, {"n_rows": F.lit(1)})
+    return rows.select(key, "n_rows", "gaps", "missing_bars", "first_gap_ts")
 
 
 def file_report(raw: DataFrame, rule: LineRule, files: DataFrame | None = None) -> DataFrame:
@@ -99,13 +111,8 @@ def file_report(raw: DataFrame, rule: LineRule, files: DataFrame | None = None)
     rows = parsed(raw, rule)
     times = rows.groupBy("file", F.when(F.col("accepted"), F.col("ts")).alias("ts")).agg(F.count("*").alias("n"), F.count_if("salvaged").alias("salvaged"))  # partial sums first, so many copies are no burden
     is_time = F.col("ts").isNotNull()
-    before = F.lag("ts").over(Window.partitionBy("file").orderBy(F.col("ts").asc_nulls_first()))
-    times = times.withColumn("prev_ts", F.when(is_time, before)).withColumn("delta", F.col("ts") - F.col("prev_ts"))
-    is_gap, missing = _gap(rule.interval_ms)
-    counted = times.groupBy("file").agg(
-        F.sum(F.when(is_time, F.col("n"))).alias("total_records"), F.sum(F.when(~is_time, F.col("n"))).alias("malformed"), F.sum("salvaged").alias("salvaged"),
-        F.sum(F.when(is_time, F.col("n") - 1)).alias("duplicates"), F.count_if(is_gap).alias("gaps"), F.sum(missing).alias("missing_bars"), F.min(F.when(is_gap, F.col("prev_ts"))).alias("first_gap_ts"),
-    )
+    sums = {"total_records": F.when(is_time, F.col("n")), "malformed": F.when(~is_time, F.col("n")), "salvaged": F.col("salvaged"), "duplicates": F.when(is_time, F.col("n") - 1)}
+    counted = _gap_counts(times, rule.interval_ms, "file", "ts", sums)
     order = out_of_order(rows).groupBy("file").agg(F.count_if("out_of_order").alias("out_of_order"))
     known = raw.select("file").distinct() if files is None else files
     out = known.join(counted, "file", "left").join(order, "file", "left")
@@ -151,10 +158,10 @@ def repaired(raw: DataFrame, rule: LineRule, report: DataFrame | None = None) ->
     """(file, line_no, line) of the files that need repair, by their report if there is one: header, then one line per time in order of time."""
     dirty = (file_report(raw, rule) if report is None else report).where("needs_repair").select("file")
     raw = raw.join(dirty, "file", "left_semi")
-    body = with_duplicates(parsed(raw, rule)).where("is_first").select("file", "ts", "line")
+    body = parsed(raw, rule).where("accepted").groupBy("file", "ts").agg(F.min_by("line", "line_no").alias("line"))
     head = canonical_header(raw, rule).select("file", F.lit(None).cast("long").alias("ts"), F.col("header").alias("line"))
-    order = Window.partitionBy("file").orderBy(F.col("ts").asc_nulls_first())
-    return head.unionByName(body).select("file", F.row_number().over(order).cast("long").alias("line_no"), "line")
+    rows = head.unionByName(body).withColumn("block", blocks.of_time(F.col("ts"), rule.interval_ms))
+    return blocks.numbered(rows, "file", ["block"], [F.col("ts").asc_nulls_first()], "line_no").select("file", "line_no", "line")
 
 
 def torn_tails(raw: DataFrame, rule: LineRule, floor: int) -> DataFrame:

@@ -57,7 +57,7 @@ def scan_funding(s: SparkSession, d: str) -> DataFrame:
 @registered
 def scan_raw_lines(s: SparkSession, d: str) -> DataFrame:
     sinks.write_lines(b.raw_lines(s, d).withColumnRenamed("value", "line"), path := scratch(s, "lines"))
-    return files.scan_raw_lines(s, path).select(lines.file_of_folder(F.col("file")).alias("file"), "line_no", "value")
+    return files.scan_raw_lines(s, path, folders=True).select("file", "line_no", "value")
 
 
 @registered

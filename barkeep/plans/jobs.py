@@ -68,7 +68,7 @@ def repair_store(spark: SparkSession, path: str, rule: LineRule) -> DataFrame:
 
     The report and the repaired lines are first written to the shared folder; then only the folders of dirty files are swapped.
     """
-    raw = files.scan_raw_lines(spark, path).withColumn("file", lines.file_of_folder(F.col("file")))
+    raw = files.scan_raw_lines(spark, path, folders=True)
     verify.file_report(raw, rule).write.parquet(at := scratch(spark, "report"))
     report = spark.read.parquet(at)
     verify.repaired(raw, rule, report).write.parquet(at := scratch(spark, "repaired"))

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from barkeep.functions.lines import cleaned as lines_cleaned
-from barkeep.functions.lines import decoded, symbol_of_file
+from barkeep.functions.lines import decoded, file_of_folder, symbol_of_file
 
 # The columns of each layout, in the order of the files.
 LAYOUTS = {
@@ -85,23 +85,25 @@ def with_read_failed(listed: DataFrame, raw: DataFrame) -> DataFrame:
     return listed.join(read, "file", "left").withColumn("read_failed", F.col("was_read").isNull() & (F.col("file_size") > 0)).drop("was_read")
 
 
-def scan_raw_lines(spark: SparkSession, path: str, skip_unreadable: bool = False) -> DataFrame:
+def scan_raw_lines(spark: SparkSession, path: str, skip_unreadable: bool = False, folders: bool = False) -> DataFrame:
     """(file, file_size, line_no, value, terminated): the lines of each file in their order, from 1.
 
     A file is read in several splits. Lines are numbered within their split and the lines of the splits
-    before are added, so no file is one task's burden. Files without any byte, and with
+    before are added, so no file is one task's burden. With folders, a folder ``file=...`` counts as one file: its files go on
+    from one another in order of their names. Files without any byte, and with
     skip_unreadable those that can't be read, yield no row: ``list_files`` and ``with_read_failed`` tell the latter.
     """
     read = spark.read.option("lineSep", "\n").option("ignoreCorruptFiles", skip_unreadable).text(path)
-    lines = read.select("value", _file(), F.col("_metadata.file_size").alias("file_size"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("id"))
-    blocks = lines.groupBy("file", "block").agg(F.count("*").alias("n"), F.sum(F.octet_length("value") + 1).alias("bytes"))
-    earlier = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    lines = read.select("value", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_size").alias("size"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("id"))
+    splits = lines.groupBy("path", "block").agg(F.count("*").alias("n"), F.sum(F.octet_length("value") + 1).alias("bytes"), F.first(F.when(F.col("block") == 0, F.col("size"))).alias("size"))
+    splits = splits.withColumn("file", file_of_folder(F.col("path")) if folders else F.col("path"))
+    earlier = Window.partitionBy("file").orderBy("path", "block").rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy("file")
-    blocks = blocks.select("file", "block", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"), F.sum("n").over(whole).alias("n"), F.sum("bytes").over(whole).alias("bytes"))
-    inner = F.row_number().over(Window.partitionBy("file", "block").orderBy("id"))
-    numbered = lines.withColumn("inner", inner).join(blocks, ["file", "block"]).withColumn("line_no", (F.col("before") + F.col("inner")).cast("long"))
-    ended = ~((F.col("line_no") == F.col("n")) & (F.col("bytes") == F.col("file_size") + 1))
-    return numbered.select("file", "file_size", "line_no", "value", ended.alias("terminated"))
+    splits = splits.select("file", "path", "block", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"), *[F.sum(c).over(whole).alias(c) for c in ("n", "bytes", "size")])
+    inner = F.row_number().over(Window.partitionBy("path", "block").orderBy("id"))
+    numbered = lines.drop("size").withColumn("inner", inner).join(splits, ["path", "block"]).withColumn("line_no", (F.col("before") + F.col("inner")).cast("long"))
+    ended = ~((F.col("line_no") == F.col("n")) & (F.col("bytes") == F.col("size") + 1))
+    return numbered.select("file", F.col("size").alias("file_size"), "line_no", "value", ended.alias("terminated"))
 
 
 def scan_symbols_file(spark: SparkSession, path: str) -> DataFrame:

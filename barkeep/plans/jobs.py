@@ -13,6 +13,7 @@ from barkeep.plans.fetch import fetch_plan
 from barkeep.plans.rules import APPENDS, FLOORS, KEEPS_UNKNOWN, LineRule
 from barkeep.sources import files, sinks
 from barkeep.sources.shared import scratch
+from barkeep.sources.versions import VersionedTable
 
 
 @dataclass(frozen=True)
@@ -76,5 +77,29 @@ def repair_store(spark: SparkSession, path: str, rule: LineRule) -> DataFrame:
     return verify.after_repair(report)
 
 
+def load_lines(raw: DataFrame, table: VersionedTable) -> int:
+    """Takes scanned lines (file, line_no, value, ...) into a versioned table by file; files that it has are replaced."""
+    return table.replace(raw.select("file", "line_no", "value"))
+
+
+def repair_table(table: VersionedTable, rule: LineRule) -> DataFrame:
+    """Repairs a versioned table of lines and returns the report; only files that need it are written, and all of them change at once."""
+    raw = table.read()
+    report = _written(verify.file_report(raw, rule), "report")
+    if not report.where("needs_repair").isEmpty():
+        table.replace(verify.repaired(raw, rule, report).withColumnRenamed("line", "value"))
+    return verify.after_repair(report)
+
+
+def purge_table(table: VersionedTable, instruments: DataFrame) -> int:
+    """Takes symbols that don't trade, or that the master doesn't have, out of a versioned table; its version."""
+    return table.remove(universe.delete_set(instruments, table.keys().withColumnRenamed(table.key, "symbol")))
+
+
+def _written(df: DataFrame, name: str) -> DataFrame:
+    df.write.parquet(at := scratch(df.sparkSession, name))
+    return df.sparkSession.read.schema(df.schema).parquet(at)
+
+
 def export_t6(store: DataFrame, interval_ms: int) -> DataFrame:
     return bars.t6_records(store, interval_ms)

@@ -17,6 +17,14 @@ def fields(value: Column) -> Column:
     return F.when(F.element_at(parts, -1) == "", F.slice(parts, F.lit(1), F.size(parts) - 1)).otherwise(parts)
 
 
+def csv_fields(value: Column) -> Column:
+    """The fields of a line by the rules of CSV: quotes around a field are dropped, doubled ones within stand for one."""
+    plain = F.split(value, ",", -1)
+    found = F.regexp_extract_all(F.concat(F.lit(","), value), F.lit(',("(?:[^"]|"")*"|[^,]*)'), 1)
+    bare = F.transform(found, lambda x: F.when(x.startswith('"'), F.replace(F.regexp_replace(x, '^"|"$', ""), F.lit('""'), F.lit('"'))).otherwise(x))
+    return F.when(value.contains('"'), bare).otherwise(plain)
+
+
 def timestamp(field: Column) -> Column:
     """Epoch milliseconds of a field of 1 to 19 digits that fits a long, else null."""
     return F.when(field.rlike("^[0-9]{1,19}$"), field.try_cast("bigint"))

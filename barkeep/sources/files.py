@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 import re
-from functools import reduce
+from dataclasses import dataclass
 from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from barkeep.functions.lines import cleaned as lines_cleaned
+from barkeep.functions.lines import csv_fields as lines_csv
 from barkeep.functions.lines import decoded, file_of_folder, symbol_of_file
+from barkeep.sources.headers import HeaderRegistry, clean_header
+from barkeep.sources.shared import scratch
 
 # The columns of each layout, in the order of the files.
 LAYOUTS = {
@@ -22,7 +24,6 @@ LAYOUTS = {
     "funding": "funding_time long, funding_rate double",
 }
 INSTRUMENTS = "exchange string, symbol string, name string, inst_family string, contract_type string, quote_asset string, settle_asset string, status string, is_trading boolean, list_time long, delivery_time long, tags array<string>"
-CORRUPT = "_corrupt"
 SCHEME = re.compile("[A-Za-z][A-Za-z0-9+.-]*:").match
 
 
@@ -30,48 +31,77 @@ def _file() -> Column:
     return F.col("_metadata.file_path").alias("file")
 
 
-def headers(spark: SparkSession, path: str | list[str]) -> dict[str, list[str]]:
-    """The files of each header line. Files without any byte have none and are left out.
+@dataclass(frozen=True)
+class Scan:
+    """``rows`` of the files that can be read, with file and is_corrupt; ``failed`` (file, reason) of the others."""
 
-    The driver gets one path for each file, as it does when Spark lists them.
-    """
-    lines = spark.read.option("lineSep", "\n").text(path).select(_file(), "value", F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("id"))
-    first = lines.where("block = 0").groupBy("file").agg(F.min_by("value", "id").alias("header"))
-    rows = first.groupBy(F.regexp_replace(lines_cleaned(F.col("header")), "^\ufeff", "").alias("header")).agg(F.collect_list("file").alias("files")).collect()
-    return {r["header"]: sorted(map(unquote, r["files"])) for r in sorted(rows)}
+    rows: DataFrame
+    failed: DataFrame
+
+    def corrupt(self) -> DataFrame:
+        """(file, n_corrupt) of the files with lines that don't parse."""
+        return self.rows.where("is_corrupt").groupBy("file").agg(F.count("*").alias("n_corrupt"))
 
 
-def _by_name(spark: SparkSession, path: str | list[str], layout: str, wanted: tuple[str, ...]) -> DataFrame:
-    """(file, wanted columns, is_corrupt) of delimited files whose headers name the columns, in any order and with others between.
+def _by_name(spark: SparkSession, path: str | list[str], layout: str, wanted: tuple[str, ...], registry: HeaderRegistry | None) -> Scan:
+    """Scans delimited files whose headers name the columns, in any order and with others between.
 
-    A line that doesn't parse is kept and marked; a file that lacks a wanted column fails the scan.
+    A header that is the layout's own needs no lookup; of files with another one the places of the wanted columns are joined by
+    file. A line that doesn't parse is kept and marked; lines that repeat their file's header, and empty ones, are left out. Files
+    that can't be read or lack a wanted column are left out and listed.
     """
     kinds = dict(c.strip().split(" ", 1) for c in re.split(r",(?![^(]*\))", LAYOUTS[layout]))
-    parts = []
-    for header, files in headers(spark, path).items():
-        names = [n.strip() for n in header.split(",")]
-        if lacking := [c for c in wanted if c not in names]:
-            raise ValueError(f"no column {', '.join(lacking)} in {files[0]} and {len(files) - 1} other files")
-        plain = [n if n in wanted else f"other_{i}" for i, n in enumerate(names)]
-        schema = ", ".join(f"`{c}` {kinds[c] if c in wanted else 'string'}" for c in plain)
-        rows = spark.read.schema(f"{schema}, {CORRUPT} string").option("header", True).option("columnNameOfCorruptRecord", CORRUPT).csv(files)
-        parts.append(rows.select(_file(), *wanted, F.col(CORRUPT).isNotNull().alias("is_corrupt")))
-    if not parts:
-        return spark.createDataFrame([], f"file string, {', '.join(f'{c} {kinds[c]}' for c in wanted)}, is_corrupt boolean")
-    return reduce(DataFrame.unionByName, parts)
-
-
-def scan_candles(spark: SparkSession, path: str, layout: str = "bars_6") -> DataFrame:
-    """(symbol, open_time, open, high, low, close, volume, is_corrupt): the columns that all layouts have, by the names in each file's header."""
+    known = (registry or HeaderRegistry(spark, scratch(spark, "headers"))).update(path)
+    names = F.transform(lines_csv(F.col("header")), lambda n: F.trim(n))
+    lacking = F.array_except(F.array(*map(F.lit, wanted)), names)
+    known = known.withColumn("reason", F.when(F.col("header").isNull(), "it can't be read").when(F.size(lacking) > 0, F.concat(F.lit("no column "), F.array_join(lacking, ", "))))
+    own = ",".join(kinds)
+    odd = known.where(F.col("header").isNull() | (F.col("header") != own))
+    odd = odd.select("file", F.col("header").alias("odd_header"), "reason", F.size(names).alias("odd_n"), F.array(*[F.array_position(names, c).cast("int") for c in wanted]).alias("odd_places"))
+    read = spark.read.option("lineSep", "\n").option("ignoreCorruptFiles", True).text(path).select(_file(), clean_header(F.col("value")).alias("value"))
+    rows = read.join(odd, "file", "left").where(F.col("reason").isNull() & (F.col("value") != "") & (F.col("value") != F.coalesce("odd_header", F.lit(own))))
+    places = F.coalesce("odd_places", F.array(*[F.lit(list(kinds).index(c) + 1) for c in wanted]))
+    rows = rows.select("file", lines_csv(F.col("value")).alias("fields"), places.alias("places"), F.coalesce("odd_n", F.lit(len(kinds))).alias("n"))
+    texts = [F.get("fields", F.get("places", F.lit(i)) - 1) for i in range(len(wanted))]
+    values = [F.when(t != "", t.try_cast(kinds[c])) for c, t in zip(wanted, texts, strict=True)]
+    bad = F.size("fields") != F.col("n")
+    for text, value in zip(texts, values, strict=True):
+        bad = bad | F.coalesce((text != "") & value.isNull(), F.lit(False))
+    rows = rows.select("file", *[v.alias(c) for c, v in zip(wanted, values, strict=True)], bad.alias("is_corrupt"))
+    return Scan(rows, known.where("reason is not null").select("file", "reason"))
+
+
+def _strict(scan: Scan) -> DataFrame:
+    if first := scan.failed.orderBy("file").first():
+        raise ValueError(f"{first['reason']} in {unquote(first['file'])} and {scan.failed.count() - 1} other files")
+    return scan.rows
+
+
+def scan_bars(spark: SparkSession, path: str | list[str], layout: str = "bars_6", registry: HeaderRegistry | None = None) -> Scan:
+    """The columns that all layouts have, by the names in each file's header, as rows (file, symbol, open_time, open, high, low, close, volume, is_corrupt), and the files that failed.
+
+    With a registry only files that are new or have changed are read for their headers.
+    """
     opened = "timestamp" if layout == "bars_12" else "open_time"
-    rows = _by_name(spark, path, layout, (opened, "open", "high", "low", "close", "volume"))
-    return rows.select(symbol_of_file(F.col("file")).alias("symbol"), F.col(opened).alias("open_time"), "open", "high", "low", "close", "volume", "is_corrupt")
+    scan = _by_name(spark, path, layout, (opened, "open", "high", "low", "close", "volume"), registry)
+    rows = scan.rows.select("file", symbol_of_file(F.col("file")).alias("symbol"), F.col(opened).alias("open_time"), "open", "high", "low", "close", "volume", "is_corrupt")
+    return Scan(rows, scan.failed)
+
+
+def scan_candles(spark: SparkSession, path: str | list[str], layout: str = "bars_6", registry: HeaderRegistry | None = None) -> DataFrame:
+    """The rows of ``scan_bars`` without file; a file that failed is an error here."""
+    return _strict(scan_bars(spark, path, layout, registry)).drop("file")
+
+
+def scan_funding_files(spark: SparkSession, path: str | list[str], registry: HeaderRegistry | None = None) -> Scan:
+    """(file, symbol, funding_time, funding_rate, is_corrupt), by the names in each file's header, and the files that failed."""
+    scan = _by_name(spark, path, "funding", ("funding_time", "funding_rate"), registry)
+    return Scan(scan.rows.select("file", symbol_of_file(F.col("file")).alias("symbol"), "funding_time", "funding_rate", "is_corrupt"), scan.failed)
 
 
-def scan_funding(spark: SparkSession, path: str) -> DataFrame:
-    """(symbol, funding_time, funding_rate), by the names in each file's header."""
-    rows = _by_name(spark, path, "funding", ("funding_time", "funding_rate"))
-    return rows.select(symbol_of_file(F.col("file")).alias("symbol"), "funding_time", "funding_rate")
+def scan_funding(spark: SparkSession, path: str | list[str], registry: HeaderRegistry | None = None) -> DataFrame:
+    """(symbol, funding_time, funding_rate); a file that failed is an error here."""
+    return _strict(scan_funding_files(spark, path, registry)).select("symbol", "funding_time", "funding_rate")
 
 
 def list_files(spark: SparkSession, path: str) -> DataFrame:

@@ -17,10 +17,18 @@ FIRST_BARS = 5000
 
 
 def prune_manifest(archives: DataFrame, resume: DataFrame) -> DataFrame:
-    """Of (kind, symbol, date_ts, ...): the archives that may hold rows after the symbol's last_ts, or all of a symbol without one."""
+    """Of (kind, symbol, date_ts, ...): the archives that may hold rows after the symbol's last_ts, or all dated ones of a symbol without one."""
     spans = F.create_map(*[F.lit(x) for pair in SPANS.items() for x in pair])
     rows = archives.join(resume.select("symbol", "last_ts"), "symbol", "left")
-    return rows.where(F.col("last_ts").isNull() | (F.col("date_ts") + spans[F.col("kind")] > F.col("last_ts"))).drop("last_ts")
+    return rows.where(F.col("date_ts") + spans[F.col("kind")] > F.coalesce("last_ts", F.lit(-(2**63)))).drop("last_ts")
+
+
+def wanted_archives(archives: DataFrame, resume: DataFrame, ranges: DataFrame) -> DataFrame:
+    """Distinct (kind, symbol, date_ts) of the archives that may hold rows after the symbol's last_ts and reach into one of its ``ranges`` (symbol, kind, from_ms, to_ms)."""
+    spans = F.create_map(*[F.lit(x) for pair in SPANS.items() for x in pair])
+    listed = prune_manifest(archives, resume).select("kind", "symbol", "date_ts").distinct()
+    reaches = (F.col("date_ts") < F.col("to_ms")) & (F.col("date_ts") + spans[F.col("kind")] > F.col("from_ms"))
+    return listed.join(ranges, ["kind", "symbol"]).where(reaches).select("kind", "symbol", "date_ts").distinct()
 
 
 def _planned(exchange: str, now_ms: int, interval_ms: int) -> dict[str, Column]:
@@ -33,6 +41,7 @@ def _planned(exchange: str, now_ms: int, interval_ms: int) -> dict[str, Column]:
         "listing": F.greatest(last, F.when(F.col("list_time") > 0, F.col("list_time")).otherwise(last)),
         "bootstrap": F.coalesce("last_ts", F.lit(now_ms - FIRST_BARS * interval_ms)),
         "next_bar": last + interval_ms,
+        "probe": F.coalesce("last_ts", "listed", F.when(F.col("list_time") > 0, F.col("list_time")), F.lit(FLOORS[exchange])),
     }
     delivered = ~F.coalesce("is_trading", F.lit(True)) & (F.col("delivery_time") > 0)
     ends: dict[str, Column] = {"delivery": F.when(delivered, F.col("delivery_time")).otherwise(now - MINUTE), "now": now, "completed": completed}
@@ -40,15 +49,19 @@ def _planned(exchange: str, now_ms: int, interval_ms: int) -> dict[str, Column]:
     return {"start_ms": start, "end_ms": end, "nothing_new": start > end, "future_bar": last > completed}
 
 
+def _with_listed(resolved: DataFrame) -> DataFrame:
+    return resolved if "listed" in resolved.columns else resolved.withColumn("listed", F.lit(None).cast("long"))
+
+
 def fetch_plan(resolved: DataFrame, exchange: str, now_ms: int, interval_ms: int) -> DataFrame:
-    """(symbol, start_ms, end_ms, nothing_new, future_bar) of (symbol, last_ts, is_trading, list_time, delivery_time); last_ts is null without history."""
-    return resolved.select("symbol", *[c.alias(n) for n, c in _planned(exchange, now_ms, interval_ms).items()])
+    """(symbol, start_ms, end_ms, nothing_new, future_bar) of (symbol, last_ts, is_trading, list_time, delivery_time[, listed]); last_ts is null without history, listed is the first day with bars."""
+    return _with_listed(resolved).select("symbol", *[c.alias(n) for n, c in _planned(exchange, now_ms, interval_ms).items()])
 
 
 def fetch_plans(resolved: DataFrame, now_ms: int, interval_ms: int) -> DataFrame:
     """The plans of all exchanges over one list of symbols, in one pass."""
     plans = [F.struct(F.lit(e).alias("exchange"), *[c.alias(n) for n, c in _planned(e, now_ms, interval_ms).items()]) for e in FETCHES]
-    rows = resolved.select("symbol", F.explode(F.array(*plans)).alias("x"))
+    rows = _with_listed(resolved).select("symbol", F.explode(F.array(*plans)).alias("x"))
     return rows.select("symbol", "x.start_ms", "x.end_ms", "x.nothing_new", "x.future_bar", "x.exchange")
 
 

@@ -7,9 +7,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barkeep.functions import lines
 from barkeep.operators import append, bars, universe, verify
-from barkeep.plans.fetch import fetch_plan
+from barkeep.plans.fetch import chunk_ranges, fetch_plan, wanted_archives
 from barkeep.plans.rules import APPENDS, FLOORS, KEEPS_UNKNOWN, LineRule
 from barkeep.sources import files, sinks
 from barkeep.sources.shared import scratch
@@ -26,18 +25,55 @@ class Update:
     kept: DataFrame
 
 
-def update_bars(incoming: DataFrame, store: DataFrame, instruments: DataFrame, requested: DataFrame, exchange: str, now_ms: int, interval_ms: int, delete_delisted: bool = False) -> Update:
-    """(symbol, ts, ...) rows of ``incoming``, with pos, or file_no where archives come one by one, against ``store``; only symbols that resolve to an update count."""
-    floor = FLOORS[exchange.split("_")[0]]
-    keep = KEEPS_UNKNOWN.get(exchange, True)
-    actions = universe.resolve_requested(requested, instruments, keep, delete_delisted)
-    wanted = actions.where("action = 'update'").select("symbol")
+def _wanted(requested: DataFrame, instruments: DataFrame, exchange: str, delete_delisted: bool) -> DataFrame:
+    actions = universe.resolve_requested(requested, instruments, KEEPS_UNKNOWN.get(exchange, True), delete_delisted)
+    return actions.where("action = 'update'").select("symbol")
+
+
+def _plan(wanted: DataFrame, store: DataFrame, instruments: DataFrame, exchange: str, now_ms: int, interval_ms: int, daily: DataFrame | None) -> DataFrame:
     resolved = wanted.join(append.last_times(store), "symbol", "left").join(instruments.select("symbol", "is_trading", "list_time", "delivery_time"), "symbol", "left")
-    plan = fetch_plan(resolved, exchange.split("_")[0], now_ms, interval_ms)
+    if daily is not None:
+        resolved = resolved.join(bars.listing_dates(daily, wanted, now_ms), "symbol", "left")
+    return fetch_plan(resolved, exchange.split("_")[0], now_ms, interval_ms)
+
+
+def update_bars(
+    incoming: DataFrame, store: DataFrame, instruments: DataFrame, requested: DataFrame, exchange: str, now_ms: int, interval_ms: int, delete_delisted: bool = False, daily: DataFrame | None = None
+) -> Update:
+    """(symbol, ts, ...) rows of ``incoming``, with pos, or file_no where archives come one by one, against ``store``; only symbols that resolve to an update count.
+
+    ``daily`` has the daily bars (symbol, open_time) that tell when a symbol was listed, for exchanges that don't say.
+    """
+    base = exchange.split("_")[0]
+    wanted = _wanted(requested, instruments, exchange, delete_delisted)
+    plan = _plan(wanted, store, instruments, exchange, now_ms, interval_ms, daily)
     kinds = {"monotonic": append.append_monotonic, "static": append.append_static, "archives": append.append_archives}
-    new = kinds[APPENDS[exchange.split("_")[0]]](incoming.join(wanted, "symbol", "left_semi"), store.select("symbol", "ts"), floor)
+    new = kinds[APPENDS[base]](incoming.join(wanted, "symbol", "left_semi"), store.select("symbol", "ts"), FLOORS[base])
     gone = universe.delete_set(instruments, store.select("symbol").distinct()) if delete_delisted else requested.limit(0)
-    return Update(plan, new.repartition("symbol").sortWithinPartitions("symbol", "ts"), append.append_counts(new), universe.purged(store, gone))
+    return Update(plan, new.repartitionByRange("symbol", "ts").sortWithinPartitions("symbol", "ts"), append.append_counts(new), universe.purged(store, gone))
+
+
+#: The order in which kinds of archives are taken.
+KINDS = ("monthly", "daily", "funding")
+
+
+def update_from_archives(
+    spark: SparkSession, root: str, manifest: DataFrame, recent: DataFrame, store: DataFrame, instruments: DataFrame, requested: DataFrame, exchange: str, now_ms: int, interval_ms: int, layout: str = "bars_8"
+) -> Update:
+    """``update_bars`` from landed archives: of ``manifest`` (kind, symbol, date_ts) those are read that may hold something new in the windows which the plan asks for, then come ``recent`` rows (symbol, ts, ...).
+
+    The archives to read are written as a table first, whose size tells Spark whether it can prune their folders.
+    """
+    plan = _plan(_wanted(requested, instruments, exchange, False), store, instruments, exchange, now_ms, interval_ms, None)
+    archives = _written(wanted_archives(manifest, append.last_times(store), chunk_ranges(plan, now_ms)), "archives")
+    rank = F.create_map(*[F.lit(x) for i, k in enumerate(KINDS) for x in (k, i)])
+    file_no = rank[F.col("kind")].cast("long") * (1 << 52) + F.col("date_ts")
+    rows = files.read_archives(spark, root, archives, layout).withColumn("file_no", file_no).withColumnRenamed("open_time", "ts").drop("kind", "date_ts")
+    found = update_bars(rows, store, instruments, requested, exchange, now_ms, interval_ms)
+    archived = _written(found.new.drop("file_no"), "archived")
+    asked = recent.join(_wanted(requested, instruments, exchange, False), "symbol", "left_semi")
+    new = archived.unionByName(append.append_static(asked, store.select("symbol", "ts").unionByName(archived.select("symbol", "ts")), FLOORS[exchange.split("_")[0]]))
+    return Update(plan, new, append.append_counts(new), found.kept)
 
 
 def update_funding(bulk: DataFrame, recent: DataFrame, store: DataFrame, floor: int = 0) -> DataFrame:
@@ -101,5 +137,10 @@ def _written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(at)
 
 
-def export_t6(store: DataFrame, interval_ms: int) -> DataFrame:
-    return bars.t6_records(store, interval_ms)
+def export_t6(store: DataFrame, interval_ms: int, path: str | None = None) -> DataFrame:
+    """The exported records; with a path they are written there too, one folder per symbol, newest first, numbered by rec_no, in files of bounded size."""
+    rows = bars.positions(bars.t6_records(store, interval_ms), "close_time", newest_first=True)
+    if path is not None:
+        sinks.write_parquet(rows, path, "rec_no")
+        return rows.sparkSession.read.schema(rows.schema).parquet(path)
+    return rows.repartitionByRange("symbol", "rec_no").sortWithinPartitions("symbol", "rec_no")

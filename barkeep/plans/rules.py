@@ -44,7 +44,7 @@ def line_rule_table(spark: SparkSession, interval_ms: int = HOUR) -> DataFrame:
     return spark.createDataFrame(rows, "exchange string, data string, n_fields int, allow_more boolean, salvage boolean, interval_ms long")
 
 
-#: Of (exchange, data): quote asset, settlement asset, either of the two, contract type, text in the name, tags to leave out.
+# Rules of the exchanges. Of (exchange, data): quote asset, settlement asset, either of the two, contract type, text in the name, tags to leave out.
 UNIVERSES: dict[tuple[str, str], dict[str, object]] = {
     ("binance", "futures"): {"quote": "USDT", "contract": "PERPETUAL"},
     ("binance", "spot"): {"quote": "USDT"},
@@ -92,18 +92,18 @@ def in_universe(exchange: str, data: str, tradfi: tuple[str, ...] = TRADFI_TAGS)
     return fits
 
 
-#: Whether a requested symbol that the master doesn't know is kept, where nothing is to be deleted.
+# Whether a requested symbol that the master doesn't know is kept, where nothing is to be deleted.
 KEEPS_UNKNOWN = {"binance": True, "bybit_spot": True, "bybit_futures": False, "okx": True, "hyperliquid": False, "lighter": False, "mexc": True}
 
-#: Which new rows count: those in ascending order, all later than what is stored, or archive by archive.
+# Which new rows count: those in ascending order, all later than what is stored, or archive by archive.
 APPENDS = {"binance": "monotonic", "bybit": "static", "okx": "archives", "hyperliquid": "static", "lighter": "static", "mexc": "monotonic"}
 
-# How a back-fill starts and ends. Starts: the last stored time, that or the listing, that or a bounded history, the bar after it. Ends: delivery or shortly before now, now, the last completed bar.
+# How a back-fill starts and ends. Starts: the last stored time, that or the listing, that or a bounded history, the bar after it, that or the first day with bars. Ends: delivery or shortly before now, now, the last completed bar.
 FETCHES = {
     "binance": ("last", "delivery"),
     "bybit": ("last", "delivery"),
     "okx": ("listing", "now"),
     "hyperliquid": ("bootstrap", "now"),
-    "lighter": ("listing", "now"),
+    "lighter": ("probe", "now"),
     "mexc": ("next_bar", "completed"),
 }

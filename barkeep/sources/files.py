@@ -24,6 +24,8 @@ LAYOUTS = {
     "funding": "funding_time long, funding_rate double",
 }
 INSTRUMENTS = "exchange string, symbol string, name string, inst_family string, contract_type string, quote_asset string, settle_asset string, status string, is_trading boolean, list_time long, delivery_time long, tags array<string>"
+#: Before any date of an archive.
+NO_DATE = -(2**62)
 SCHEME = re.compile("[A-Za-z][A-Za-z0-9+.-]*:").match
 
 
@@ -172,6 +174,17 @@ def scan_archives(spark: SparkSession, paths: list[str], layout: str = "bars_6")
     return rows.withColumn("key", own).join(numbers, "key").drop("key", "file")
 
 
+def read_archives(spark: SparkSession, root: str, wanted: DataFrame, layout: str = "bars_6") -> DataFrame:
+    """The rows of the archives ``wanted`` (kind, symbol, date_ts) below folders kind=.../symbol=.../date_ts=..., with these three columns.
+
+    The scan is joined with ``wanted``, by which Spark leaves out the folders of all other archives before it reads; where
+    ``wanted`` is too large to broadcast only the join leaves them out. Columns go by position.
+    """
+    key = ["kind", "symbol", "date_ts"]
+    rows = spark.read.schema(f"{LAYOUTS[layout]}, kind string, symbol string, date_ts long").option("header", True).csv(root)
+    return rows.join(wanted.where(F.col("date_ts") > NO_DATE), key, "left_semi")
+
+
 def store_inventory(store: DataFrame) -> DataFrame:
     """(symbol) of all that is stored; on a store partitioned by symbol only partitions are read."""
     return store.select("symbol").distinct()

@@ -33,6 +33,12 @@ def write_csv(rows: DataFrame, path: str, time: str = "open_time", newest_first:
     ordered.partitionBy("symbol").option("header", True).csv(path)
 
 
+def write_parquet(rows: DataFrame, path: str, order: str) -> None:
+    """One folder of Parquet per symbol; in order of their names the files follow one another by ``order``, each in order."""
+    ordered = rows.repartitionByRange("symbol", order).sortWithinPartitions("symbol", order).write.option("maxRecordsPerFile", FILE_ROWS)
+    ordered.partitionBy("symbol").parquet(path)
+
+
 def write_lines(rows: DataFrame, path: str) -> None:
     """(file, line_no, line) as text, one folder ``file=...`` per file, whose files go on from one another in order of their names. Folders that exist are replaced, others stay; ``rows`` must not be read from ``path``."""
     ordered = rows.repartitionByRange("file", "line_no").sortWithinPartitions("file", "line_no").select("file", F.col("line").alias("value"))

@@ -60,3 +60,33 @@ def test_known_files_are_not_read_again(spark, land, tmp_path, monkeypatch):
 @pytest.mark.parametrize(("line", "wanted"), [("a,b", ["a", "b"]), ("a,", ["a", ""]), (",b", ["", "b"]), ("", [""]), ('"a,1",b,""', ["a,1", "b", ""]), ('"a ""x""",', ['a "x"', ""]), ('"",""', ["", ""])])
 def test_csv_fields(spark, line, wanted):
     assert spark.createDataFrame([(line,)], "v string").select(lines.csv_fields(F.col("v"))).first()[0] == wanted
+
+
+def test_only_wanted_archives_are_read(spark, tmp_path, monkeypatch):
+    """An archive that the plan doesn't want can't be read, and isn't."""
+    from barkeep.functions.times import DAY, MINUTE
+    from barkeep.plans import fetch, jobs
+
+    now = 1_700_000_000_000
+    day = lambda n: now - n * DAY - (now - n * DAY) % DAY
+    listed = [("daily", "A", day(9), True), ("daily", "A", day(3), False), ("daily", "A", day(2), False), ("monthly", "A", day(80), True), ("daily", "B", day(2), True), ("daily", "C", day(5), True), ("monthly", "C", day(70), False)]
+    for kind, symbol, date, broken in listed:
+        folder = tmp_path / "arch" / f"kind={kind}" / f"symbol={symbol}" / f"date_ts={date}"
+        folder.mkdir(parents=True)
+        if broken:
+            (folder / "x.csv.gz").write_bytes(b"not a gzip file")
+        else:
+            (folder / "x.csv").write_text(f"{HEAD}\n" + "".join(f"{date + i * MINUTE},1,1,1,1,1\n" for i in (2, 1, 1)))
+    manifest = spark.createDataFrame([r[:3] for r in listed], "kind string, symbol string, date_ts long")
+    store = spark.createDataFrame([("A", day(3) + MINUTE), ("B", now)], "symbol string, ts long")
+    master = spark.createDataFrame([(s, True, day(100), 0) for s in "AC"], "symbol string, is_trading boolean, list_time long, delivery_time long")
+    recent = spark.createDataFrame([("A", day(2) + 2 * MINUTE, 1.0), ("A", now, 1.0), ("B", now + 1, 1.0)], "symbol string, ts long, open double").selectExpr("symbol", "ts", "open", "open AS high", "open AS low", "open AS close", "open AS volume")
+    asked = spark.createDataFrame([("A",), ("C",)], "symbol string")
+    found = jobs.update_from_archives(spark, str(tmp_path / "arch"), manifest, recent, store, master, asked, "okx", now, MINUTE, layout="bars_6")
+    rows = sorted((r["symbol"], r["ts"]) for r in found.new.collect())
+    one = lambda n: [day(n) + i * MINUTE for i in (1, 1, 2)]
+    assert rows == [("A", day(3) + 2 * MINUTE), *[("A", t) for t in one(2)], ("A", now), *[("C", t) for t in one(70)]]
+    assert {r["symbol"]: r["n_appended"] for r in found.counts.collect()} == {"A": 5, "C": 3}
+    with pytest.raises(Exception, match="gzip|GZIP"):
+        files.read_archives(spark, str(tmp_path / "arch"), manifest).collect()
+    assert fetch.SPANS.keys() == set(jobs.KINDS)

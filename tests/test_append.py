@@ -11,7 +11,6 @@ from barkeep.operators import append, bars, universe
 from barkeep.plans import fetch, jobs
 from barkeep.plans.rules import LineRule, in_universe
 from barkeep.sources import files, sinks
-from barkeep.streaming import append as stream
 from barkeep.streaming.append import stream_append, stream_distinct
 
 ROWS = "symbol string, ts long, pos long"
@@ -116,6 +115,19 @@ def test_windows_cover_the_range_once(spark):
     assert not [r for r in rows if r["symbol"] == "done"]
 
 
+def test_the_first_day_with_bars_starts_a_plan(spark):
+    """Stored rows count first, then the first day with bars, then the master's listing, then the floor."""
+    rows = [("A", 5, 7, 9), ("B", None, 7, 9), ("C", None, None, 9), ("D", None, None, 0)]
+    resolved = spark.createDataFrame([(s, last, True, listing, 0, listed) for s, last, listed, listing in rows], "symbol string, last_ts long, is_trading boolean, list_time long, delivery_time long, listed long")
+    plan = fetch.fetch_plan(resolved, "lighter", 10**13, times.HOUR)
+    assert {r["symbol"]: r["start_ms"] for r in plan.collect()} == {"A": 5, "B": 7, "C": 9, "D": 1704067200000}
+    master = spark.createDataFrame([(s, True, 0, 0) for s in "AB"], "symbol string, is_trading boolean, list_time long, delivery_time long")
+    daily = spark.createDataFrame([("B", 3 * times.DAY), ("B", 2 * times.DAY)], "symbol string, open_time long")
+    wanted, none = spark.createDataFrame([("A",), ("B",)], "symbol string"), spark.createDataFrame([], ROWS)
+    found = jobs.update_bars(none, none, master, wanted, "lighter", 10**13, times.HOUR, daily=daily)
+    assert {r["symbol"]: r["start_ms"] for r in found.plan.collect()} == {"A": 10**13 - times.DAY, "B": 2 * times.DAY}
+
+
 def test_future_bars_are_flagged(spark):
     rows = spark.createDataFrame([("A", 10 * times.HOUR, True, 0, 0), ("B", None, True, 0, 0)], "symbol string, last_ts long, is_trading boolean, list_time long, delivery_time long")
     plan = {r["symbol"]: r for r in fetch.fetch_plan(rows, "mexc", 9 * times.HOUR, times.HOUR).collect()}
@@ -194,9 +206,11 @@ def test_written_csv_comes_back(spark, tmp_path):
     assert sorted(tuple(r)[:7] for r in files.scan_candles(spark, str(tmp_path / "csv")).collect()) == sorted(rows)
 
 
-def test_exported_records(spark):
+def test_exported_records(spark, tmp_path):
     rows = spark.createDataFrame([("A", 60_000, 1.0, 2.0, 0.5, 1.5, 3.0), ("A", 0, 1.0, 2.0, 0.5, 1.25, 3.0)], "symbol string, open_time long, open double, high double, low double, close double, volume double")
-    assert [(r["close_time"], r["close"]) for r in jobs.export_t6(rows, 60_000).collect()] == [(120_000, 1.5), (60_000, 1.25)]
+    assert [(r["close_time"], r["close"], r["rec_no"]) for r in jobs.export_t6(rows, 60_000).collect()] == [(120_000, 1.5, 1), (60_000, 1.25, 2)]
+    assert [(r["close_time"], r["rec_no"]) for r in jobs.export_t6(rows, 60_000, str(tmp_path / "t6")).orderBy("rec_no").collect()] == [(120_000, 1), (60_000, 2)]
+    assert len(list((tmp_path / "t6" / "symbol=A").glob("*.parquet"))) == 1
 
 
 def test_verify_job(spark):
@@ -255,31 +269,51 @@ def test_funding_job(spark):
     assert sorted(r["ts"] for r in jobs.update_funding(bulk, recent, store).collect()) == [2, 3]
 
 
+LANDED = f"{ROWS}, size long, price double, note string"
+
+
+def landing(spark, land):
+    return lambda *rows: spark.createDataFrame([(*r, *([None, 0.1, None] if len(r) == 3 else [])) for r in rows], LANDED).coalesce(1).write.mode("append").parquet(land)
+
+
+def states(spark, checkpoint) -> dict[str, int]:
+    """The last time of each symbol as Spark's state store has it."""
+    return {r["symbol"]: r["last_ts"] for r in spark.read.format("statestore").load(checkpoint).select("key.symbol", "value.groupState.last_ts").collect()}
+
+
 def test_stream_appends_once(spark, tmp_path):
     land, store, check = (str(tmp_path / n) for n in ("land", "store", "check"))
-    batch = lambda rows: spark.createDataFrame(rows, ROWS).coalesce(1).write.mode("append").parquet(land)
-    batch([("A", 1, 0), ("A", 2, 1), ("A", 2, 2)])
-    run = lambda: stream_append(spark.readStream.schema(ROWS).parquet(land), store, check).awaitTermination()
+    batch = landing(spark, land)
+    batch(("A", 1, 0), ("A", 2, 1), ("A", 2, 2), (None, 1, 0), ("A", None, 3))
+    run = lambda: stream_append(spark.readStream.schema(LANDED).parquet(land), store, check).awaitTermination()
     run()
-    batch([("A", 2, 0), ("A", 3, 1), ("B", 1, 2)])
+    batch(("A", 3, 1), ("A", 2, 0), ("B", 1, 2, 2**53 + 1, None, "x, \"y\""))
     run()
-    batch([("A", 3, 0), ("B", 2, 1)])
+    assert states(spark, check) == {"A": 3, "B": 1}
+    batch(("A", 3, 0), ("B", 2, 1), ("A", 9, 2), ("A", 8, 3))
     run()
     run()
-    kept = {tuple(r) for r in spark.read.parquet(f"{store}-resume").where("slot = 0").select("symbol", "last_ts").collect()}
-    assert kept == {("A", 3), ("B", 2)}
-    assert sorted((r["symbol"], r["ts"]) for r in spark.read.parquet(store).collect()) == [("A", 1), ("A", 2), ("A", 3), ("B", 1), ("B", 2)]
-
-
-def test_stream_goes_on_from_a_store_without_slots(spark, tmp_path):
-    """Without the table of last times, and on a second try of a batch, the store tells what is new."""
-    store, resume = str(tmp_path / "store"), str(tmp_path / "resume")
-    assert stream._last_times(spark, store, resume, 0).count() == 0
-    rows = lambda *r: spark.createDataFrame(list(r), ROWS)
-    rows(("A", 5, 0)).write.parquet(f"{store}/batch=0")
-    rows(("A", 9, 0)).write.parquet(f"{store}/batch=1")
-    assert [tuple(r) for r in stream._last_times(spark, store, resume, 1).collect()] == [("A", 5)]
-    assert [tuple(r) for r in stream._last_times(spark, store, resume, 2).collect()] == [("A", 9)]
+    assert states(spark, check) == {"A": 9, "B": 2}
+    rows = sorted(map(tuple, spark.read.parquet(store).collect()))
+    one = lambda s, t, p: (s, t, p, None, 0.1, None)
+    assert rows == [one("A", 1, 0), one("A", 2, 1), one("A", 3, 1), one("A", 9, 2), ("B", 1, 2, 2**53 + 1, None, 'x, "y"'), one("B", 2, 1)]
+
+
+def test_stream_restarts_after_a_failed_batch(spark, tmp_path):
+    """A batch that fails half way is run again as a whole; symbols begin where their history ends."""
+    land, store, check = (str(tmp_path / n) for n in ("land", "store", "check"))
+    history = spark.createDataFrame([("A", 5), ("C", 1)], "symbol string, ts long")
+    batch = landing(spark, land)
+    batch(("A", 5, 0), ("A", 6, 1), ("B", 1, 2))
+    source = lambda: spark.readStream.schema(LANDED).parquet(land)
+    stream_append(source(), store, check, history=history).awaitTermination()
+    batch(("A", 7, 0), ("B", 3, 1), ("C", 1, 2), ("C", 2, 3))
+    broken = source().withColumn("ts", F.when(F.col("symbol") == "B", F.raise_error(F.lit("down")).cast("long")).otherwise(F.col("ts")))
+    with pytest.raises(Exception, match="down"):
+        stream_append(broken, store, check, history=history).awaitTermination()
+    assert spark.read.parquet(store).count() == 2
+    stream_append(source(), store, check, history=history.withColumn("ts", F.lit(99).cast("long"))).awaitTermination()
+    assert sorted((r["symbol"], r["ts"]) for r in spark.read.parquet(store).collect()) == [("A", 6), ("A", 7), ("B", 1), ("B", 3), ("C", 2)]
 
 
 def test_stream_drops_repeats(spark, tmp_path):

@@ -50,11 +50,16 @@ def unterminated(raw: DataFrame) -> DataFrame:
     return raw.withColumn("terminated", F.col("line_no") < F.max("line_no").over(Window.partitionBy("file")))
 
 
-def funding(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """(stored, incoming): (symbol, ts, rate, pos); even order keys are stored."""
-    rows = table(spark, sf_dir, "orders").select(
+def rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(symbol, ts, rate, pos) of all orders."""
+    return table(spark, sf_dir, "orders").select(
         (F.col("o_custkey") % 50).cast("string").alias("symbol"), epoch_ms(F.col("o_orderdate")).alias("ts"), F.round(F.col("o_totalprice") * 100).cast("long").alias("rate"), F.col("o_orderkey").alias("pos")
     )
+
+
+def funding(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(stored, incoming): even order keys before a time are stored."""
+    rows = rates(spark, sf_dir)
     stored = rows.where("pos % 2 = 0 and ts < 800000000000")
     return stored, rows.where("pos % 2 = 1")
 

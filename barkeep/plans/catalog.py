@@ -10,10 +10,12 @@ from pyspark.sql import functions as F
 from barkeep.functions import lines, times
 from barkeep.operators import append, bars, universe, verify
 from barkeep.plans import bindings as b
-from barkeep.plans import fetch
+from barkeep.plans import fetch, jobs
 from barkeep.plans.rules import LineRule, line_rule_table
 from barkeep.sources import files, sinks
 from barkeep.sources.shared import scratch
+from barkeep.sources.staging import Staging
+from barkeep.sources.versions import VersionedTable
 
 RULE = LineRule(6, salvage=True, interval_ms=times.HOUR)
 FLOOR = 1420070400000
@@ -49,11 +51,27 @@ def scan_candles(s: SparkSession, d: str) -> DataFrame:
 
 @registered
 def scan_funding(s: SparkSession, d: str) -> DataFrame:
-    stored = b.funding(s, d)[0].select("symbol", F.col("ts").alias("funding_time"), F.col("rate").alias("funding_rate"))
-    sinks.write_csv(stored, path := scratch(s, "funding"), "funding_time")
+    rates = b.rates(s, d).select("symbol", F.col("ts").alias("funding_time"), F.col("rate").alias("funding_rate"))
+    sinks.write_csv(rates, path := scratch(s, "funding"), "funding_time")
     return files.scan_funding(s, path).withColumn("funding_rate", F.col("funding_rate").cast("long"))
 
 
+@registered
+def scan_report(s: SparkSession, d: str) -> DataFrame:
+    """Bars in files of three headers, by the length of the symbol: the layout's own, one without volume, and one that is quoted, in another order and has a column more. Files that fail are told."""
+    made, path = b.bars(s, d), scratch(s, "landed")
+    of = lambda n: made.where(F.length("symbol") % 3 == n)
+    sinks.write_csv(of(0), f"{path}/plain")
+    sinks.write_csv(of(1).drop("volume"), f"{path}/short")
+    wide = of(2).select("symbol", "close", F.lit("a, b").alias("note"), "volume", "open_time", "open", "high", "low")
+    wide.write.partitionBy("symbol").option("header", True).option("quoteAll", True).csv(f"{path}/wide")
+    scan = files.scan_bars(s, [f"{path}/{n}" for n in ("plain", "short", "wide")])
+    read = scan.rows.groupBy("symbol").agg(F.count("*").alias("n_rows"), F.sum("close").cast("long").alias("sum_close"), F.count_if("is_corrupt").alias("n_corrupt"), F.lit(None).cast("string").alias("reason"))
+    none = F.lit(0).cast("long")
+    failed = scan.failed.select(lines.symbol_of_file(F.col("file")).alias("symbol"), none.alias("n_rows"), none.alias("sum_close"), none.alias("n_corrupt"), "reason").distinct()
+    return read.unionByName(failed)
+
+
 @registered
 def scan_raw_lines(s: SparkSession, d: str) -> DataFrame:
     sinks.write_lines(b.raw_lines(s, d).withColumnRenamed("value", "line"), path := scratch(s, "lines"))
@@ -171,6 +189,15 @@ def repair_rows(s: SparkSession, d: str) -> DataFrame:
     return verify.repaired(b.raw_lines(s, d), RULE)
 
 
+@registered
+def repair_versions(s: SparkSession, d: str) -> DataFrame:
+    """All lines of a versioned table after its repair."""
+    table = VersionedTable(s, scratch(s, "lines"), "file")
+    jobs.load_lines(b.raw_lines(s, d), table)
+    jobs.repair_table(table, RULE)
+    return table.read()
+
+
 @registered
 def trim_torn_tail(s: SparkSession, d: str) -> DataFrame:
     return verify.torn_tails(b.unterminated(b.raw_lines(s, d)), RULE, FLOOR)
@@ -329,6 +356,16 @@ def purge_delisted(s: SparkSession, d: str) -> DataFrame:
     return universe.purged(b.store(s, d), delete_set(s, d)).groupBy("symbol").agg(F.count("*").alias("n_rows"), F.max("ts").alias("last_ts"))
 
 
+@registered
+def purge_versions(s: SparkSession, d: str) -> DataFrame:
+    """Funding rates in a versioned table, in two commits and then without the symbols that don't trade or aren't known."""
+    table = VersionedTable(s, scratch(s, "rates"))
+    for rows in b.funding(s, d):
+        table.append(rows)
+    jobs.purge_table(table, b.instruments(s, d))
+    return table.read().groupBy("symbol").agg(F.count("*").alias("n_rows"), F.max("ts").alias("last_ts"))
+
+
 # Append
 
 
@@ -387,9 +424,38 @@ def recover_batches(s: SparkSession, d: str) -> DataFrame:
     return append.recoverable(staged, staged.where("symbol = 'click'").select("symbol").distinct())
 
 
+@registered
+def recover_staged(s: SparkSession, d: str) -> DataFrame:
+    """Two runs are left staged, one of them after its commit; both are in the table once."""
+    rows = append.staged_names(b.staged(s, d)).drop("batch_name")
+    stage, table = Staging(s, scratch(s, "staging")), VersionedTable(s, scratch(s, "merged"))
+    stage.stage_all(rows.where("symbol <= 'm'"), "first")
+    stage.stage_all(rows.where("symbol > 'm'"), "second")
+    table.append(append.merge_staged(stage.batches("first")).drop("batch_no", "pos"), token="staged first")
+    stage.recover(table)
+    return table.read().select("symbol", "open_time", "close", "seq")
+
+
 # Plans
 
 
+@registered
+def archive_intake(s: SparkSession, d: str) -> DataFrame:
+    """Daily archives and recent bars against a store that ends fifteen days before now."""
+    made, root = b.bars(s, d), scratch(s, "archives")
+    day = (F.col("open_time") - F.col("open_time") % times.DAY).alias("date_ts")
+    landed = made.where(F.col("open_time") < b.NOW_BARS - 3 * times.DAY).select(F.lit("daily").alias("kind"), day, *made.columns)
+    landed.hint("rebalance", "symbol", "date_ts").write.partitionBy("kind", "symbol", "date_ts").option("header", True).csv(root)
+    manifest = files.flatten_manifest(b.manifest(s, d)).where(F.col("date_ts") < b.NOW_BARS - 3 * times.DAY).select(F.lit("daily").alias("kind"), "symbol", "date_ts")
+    prices = [F.col(c).cast("double").alias(c) for c in ("open", "high", "low", "close", "volume")]
+    recent = made.where(F.col("open_time") >= b.NOW_BARS - 4 * times.DAY).select("symbol", F.col("open_time").alias("ts"), *prices)
+    stored = made.where(F.col("open_time") < b.NOW_BARS - 15 * times.DAY).select("symbol", F.col("open_time").alias("ts"))
+    symbols = made.select("symbol").distinct()
+    master = symbols.select("symbol", F.lit(True).alias("is_trading"), F.lit(0).cast("long").alias("list_time"), F.lit(0).cast("long").alias("delivery_time"))
+    found = jobs.update_from_archives(s, root, manifest, recent, stored, master, symbols, "okx", b.NOW_BARS, times.HOUR, layout="bars_6")
+    return found.new.select("symbol", "ts", F.col("close").cast("long").alias("close"))
+
+
 @registered
 def manifest_prune(s: SparkSession, d: str) -> DataFrame:
     listed = files.flatten_manifest(b.manifest(s, d))
@@ -400,7 +466,9 @@ def manifest_prune(s: SparkSession, d: str) -> DataFrame:
 
 def _resolved(s: SparkSession, d: str) -> DataFrame:
     rows = b.requested(s, d).join(_last_prices(s, d), "symbol", "left").join(b.instruments(s, d).select("symbol", "is_trading", "list_time", "delivery_time"), "symbol", "left")
-    return rows.withColumn("last_ts", F.when(F.col("symbol").endswith("3"), F.lit(None)).otherwise(F.col("last_ts")))
+    rows = rows.withColumn("last_ts", F.when(F.col("symbol").endswith("3"), F.lit(None)).otherwise(F.col("last_ts")))
+    daily = b.store(s, d).select("symbol", F.col("ts").alias("open_time"))
+    return rows.join(bars.listing_dates(daily, b.requested(s, d), b.NOW_ITEMS), "symbol", "left")
 
 
 @registered

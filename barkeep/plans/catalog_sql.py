@@ -112,9 +112,9 @@ def _plan_sql() -> str:
     parts = []
     for exchange, (start_by, end_by) in FETCHES.items():
         last = f"coalesce(last_ts, {FLOORS[exchange]})"
-        starts = {"last": last, "listing": f"greatest({last}, CASE WHEN list_time > 0 THEN list_time ELSE {last} END)", "bootstrap": f"coalesce(last_ts, {NOW_ITEMS - fetch.FIRST_BARS * HOUR})", "next_bar": f"{last} + {HOUR}"}
+        starts = {"last": last, "listing": f"greatest({last}, CASE WHEN list_time > 0 THEN list_time ELSE {last} END)", "bootstrap": f"coalesce(last_ts, {NOW_ITEMS - fetch.FIRST_BARS * HOUR})", "next_bar": f"{last} + {HOUR}", "probe": f"coalesce(last_ts, listed, CASE WHEN list_time > 0 THEN list_time END, {FLOORS[exchange]})"}
         parts.append(f"SELECT '{exchange}' AS exchange, symbol, {starts[start_by]} AS start_ms, {ends[end_by]} AS end_ms, {last} > {completed} AS future_bar FROM resolved")
-    resolved = "resolved AS (SELECT r.symbol, CASE WHEN r.symbol LIKE '%3' THEN NULL ELSE last_ts END AS last_ts, is_trading, list_time, delivery_time FROM requested r LEFT JOIN prices USING (symbol) LEFT JOIN instruments USING (symbol))"
+    resolved = f"resolved AS (SELECT r.symbol, CASE WHEN r.symbol LIKE '%3' THEN NULL ELSE last_ts END AS last_ts, is_trading, list_time, delivery_time, coalesce((SELECT min(ts) FROM store s WHERE s.symbol = r.symbol), {NOW_ITEMS - DAY}) AS listed FROM requested r LEFT JOIN prices USING (symbol) LEFT JOIN instruments USING (symbol))"
     return f"WITH {ALL_MASTER}, {resolved}, plans AS ({' UNION ALL '.join(parts)}) SELECT exchange, symbol, start_ms, end_ms, start_ms > end_ms AS nothing_new, future_bar FROM plans"
 
 
@@ -155,7 +155,8 @@ _float = ", ".join(f"CAST(CAST({c} AS FLOAT) AS DOUBLE) AS {c}" for c in ("open"
 
 ORACLES: dict[str, str] = {
     "scan_candles": f"WITH {BARS} SELECT * FROM bars",
-    "scan_funding": f"WITH {FUNDING} SELECT symbol, ts AS funding_time, rate AS funding_rate FROM stored",
+    "scan_funding": f"WITH {FUNDING} SELECT symbol, ts AS funding_time, rate AS funding_rate FROM funding",
+    "scan_report": f"WITH {BARS} SELECT symbol, CASE WHEN length(symbol) % 3 = 1 THEN 0 ELSE count(*) END AS n_rows, CASE WHEN length(symbol) % 3 = 1 THEN 0 ELSE CAST(sum(close) AS BIGINT) END AS sum_close, 0 AS n_corrupt, CASE WHEN length(symbol) % 3 = 1 THEN 'no column volume' END AS reason FROM bars GROUP BY symbol",
     "scan_raw_lines": f"WITH {RAW} SELECT * FROM raw",
     "scan_symbols_file": f"WITH {REQUESTED} SELECT * FROM requested",
     "scan_instruments": f"WITH {INSTRUMENTS} SELECT * EXCLUDE (tags), array_to_string(tags, '|') AS tags FROM instruments",
@@ -177,6 +178,7 @@ ORACLES: dict[str, str] = {
     "verify_verdict": f"WITH {REPORT} SELECT coalesce(bool_or(needs_repair), false) AS any_unresolved FROM report",
     "gap_report_text": f"WITH {REPORT} SELECT file, {_sentence} || CASE WHEN gaps > 0 THEN ' (first gap after ' || strftime(make_timestamp(first_gap_ts * 1000), '%Y-%m-%d %H:%M') || ')' ELSE '' END AS text FROM report",
     "repair_rows": f"WITH {REPORT}, lines AS (SELECT file, ts, line FROM ordered WHERE is_first UNION ALL SELECT DISTINCT file, NULL, '{HEADER}' FROM raw) SELECT file, row_number() OVER (PARTITION BY file ORDER BY ts NULLS FIRST) AS line_no, line FROM lines WHERE file IN (SELECT file FROM report WHERE needs_repair)",
+    "repair_versions": f"WITH {REPORT}, dirty AS (SELECT file FROM report WHERE needs_repair), lines AS (SELECT file, ts, line FROM ordered WHERE is_first UNION ALL SELECT DISTINCT file, NULL, '{HEADER}' FROM raw) SELECT file, row_number() OVER (PARTITION BY file ORDER BY ts NULLS FIRST) AS line_no, line AS value FROM lines WHERE file IN (FROM dirty) UNION ALL SELECT file, line_no, value FROM raw WHERE file NOT IN (FROM dirty)",
     "trim_torn_tail": f"WITH {TAILS} SELECT * FROM tails",
     "resume_point": f"WITH {TAILS} SELECT file, resume_ts FROM tails",
     "verify_rules": _line_rules_sql(),
@@ -205,6 +207,7 @@ ORACLES: dict[str, str] = {
     "union_instruments": f"WITH {INSTRUMENTS} SELECT symbol, status, is_trading FROM instruments WHERE is_trading UNION ALL SELECT symbol, status, is_trading FROM instruments WHERE NOT is_trading OR symbol LIKE '%9'",
     "delete_set": f"WITH {DELETED} SELECT symbol FROM deleted",
     "purge_delisted": f"WITH {DELETED} SELECT symbol, count(*) AS n_rows, max(ts) AS last_ts FROM store WHERE symbol NOT IN (SELECT symbol FROM deleted) GROUP BY symbol",
+    "purge_versions": f"WITH {FUNDING}, {INSTRUMENTS} SELECT symbol, count(*) AS n_rows, max(ts) AS last_ts FROM (FROM stored UNION ALL FROM incoming) WHERE symbol IN (SELECT symbol FROM instruments WHERE is_trading) GROUP BY symbol",
     "append_static": f"WITH {STATIC} SELECT * FROM static",
     "append_monotonic": f"WITH {STATIC}, m AS (SELECT *, max(ts) OVER (PARTITION BY symbol ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS top FROM static) SELECT * EXCLUDE (top) FROM m WHERE top IS NULL OR ts > top",
     "append_archives": f"WITH {STATIC}, tops AS (SELECT symbol, pos // 5000 AS file_no, max(ts) AS top FROM incoming GROUP BY ALL) SELECT s.*, pos // 5000 AS file_no FROM static s WHERE ts > coalesce((SELECT max(top) FROM tops t WHERE t.symbol = s.symbol AND t.file_no < s.pos // 5000), 0)",
@@ -214,6 +217,8 @@ ORACLES: dict[str, str] = {
     "batch_name": f"WITH {TICKS} SELECT event_id, 'batch_' || lpad(CAST(event_id % 100000 AS VARCHAR), 5, '0') AS name, CAST(event_id % 100000 AS INTEGER) AS number, CAST(NULL AS INTEGER) AS other FROM ticks",
     "merge_staged_batches": f"WITH {STAGED} SELECT symbol, batch_no, pos, open_time, row_number() OVER (PARTITION BY symbol ORDER BY open_time) AS seq FROM staged",
     "recover_batches": f"WITH {STAGED}, h AS (SELECT symbol, max(batch_no) AS last_batch, count(DISTINCT batch_no) AS n_batches FROM staged WHERE symbol <> 'click' GROUP BY symbol) SELECT *, CASE WHEN last_batch > 3 THEN '3' ELSE '' END AS missing FROM h",
+    "recover_staged": f"WITH {STAGED} SELECT symbol, open_time, close, row_number() OVER (PARTITION BY symbol ORDER BY open_time) AS seq FROM staged",
+    "archive_intake": f"WITH {BARS}, l AS (SELECT symbol, max(open_time) AS last FROM bars WHERE open_time < {NOW_BARS - 15 * DAY} GROUP BY symbol) SELECT symbol, open_time AS ts, close FROM bars LEFT JOIN l USING (symbol) WHERE open_time > coalesce(last, 0)",
     "manifest_prune": _prune_sql(),
     "fetch_plan": _plan_sql(),
     "chunk_ranges": _chunk_sql(),

@@ -60,7 +60,7 @@ def _by_name(spark: SparkSession, path: str | list[str], layout: str, wanted: tu
     own = ",".join(kinds)
     odd = known.where(F.col("header").isNull() | (F.col("header") != own))
     odd = odd.select("file", F.col("header").alias("odd_header"), "reason", F.size(names).alias("odd_n"), F.array(*[F.array_position(names, c).cast("int") for c in wanted]).alias("odd_places"))
-    read = spark.read.option("lineSep", "\n").option("ignoreCorruptFiles", True).text(path).select(_file(), clean_header(F.col("value")).alias("value"))
+    read = spark.read.option("lineSep", "\n").option("ignoreCorruptFiles", True).option("recursiveFileLookup", True).text(path).select(_file(), clean_header(F.col("value")).alias("value"))
     rows = read.join(odd, "file", "left").where(F.col("reason").isNull() & (F.col("value") != "") & (F.col("value") != F.coalesce("odd_header", F.lit(own))))
     places = F.coalesce("odd_places", F.array(*[F.lit(list(kinds).index(c) + 1) for c in wanted]))
     rows = rows.select("file", lines_csv(F.col("value")).alias("fields"), places.alias("places"), F.coalesce("odd_n", F.lit(len(kinds))).alias("n"))

@@ -26,7 +26,7 @@ def clean_header(line: Column) -> Column:
 
 def listing(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """(file, file_size, modified) of all files that hold a byte; content is not read."""
-    return spark.read.format("binaryFile").load(path).select(F.col("_metadata.file_path").alias("file"), F.col("length").alias("file_size"), F.col("modificationTime").alias("modified"))
+    return spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select(F.col("_metadata.file_path").alias("file"), F.col("length").alias("file_size"), F.col("modificationTime").alias("modified"))
 
 
 class HeaderRegistry:
@@ -57,7 +57,7 @@ class HeaderRegistry:
     def _probe(self, folder: str | list[str], since) -> DataFrame:
         """The first lines of files that are as new as the oldest unknown one: Spark leaves older ones out when it lists them."""
         after = (since.astimezone(timezone.utc) - timedelta(milliseconds=1)).strftime("%Y-%m-%dT%H:%M:%S.%f")
-        read = self.spark.read.option("lineSep", "\n").option("ignoreCorruptFiles", True).option("modifiedAfter", after).option("timeZone", "UTC").text(folder)
+        read = self.spark.read.option("lineSep", "\n").option("ignoreCorruptFiles", True).option("modifiedAfter", after).option("timeZone", "UTC").option("recursiveFileLookup", True).text(folder)
         about = [F.col(f"_metadata.{c}").alias(n) for c, n in (("file_path", "file"), ("file_size", "file_size"), ("file_modification_time", "modified"), ("file_block_start", "block"))]
         first = read.select("value", *about, F.monotonically_increasing_id().alias("id")).where("block = 0")
         return first.groupBy(*_OWN).agg(clean_header(F.min_by("value", "id")).alias("header"))

@@ -26,7 +26,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark import Broadcast
+from pyspark import Broadcast, TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -36,6 +36,8 @@ from barkeep.llm.components import components, forest
 THRESHOLD = 0.98
 #: Vectors in a tile, leading dimensions of its bounding box, dimensions added at a time.
 TILE, BOX, BLOCK = 1024, 6, 8
+#: Matrices that are added in one task.
+SUMMED = 32
 #: How far rounding may move a cosine of the turned vectors, which are kept in single precision.
 SLACK = 2e-5
 #: Quantile ranges of a label's leading coordinate, the most.
@@ -74,21 +76,36 @@ def _given(column: pa.ListArray, width: int) -> np.ndarray:
 
 
 def basis(groups: DataFrame, width: int) -> np.ndarray:
-    """Principal directions of the scaled vectors, strongest first, as columns."""
+    """Principal directions of the scaled vectors, strongest first, as columns.
+
+    A task sends one matrix in one row; SUMMED tasks' matrices at a time are added before the rest meet.
+    """
+    upper = np.triu_indices(width)
 
     def moments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((width, width))
+        total, seen = np.zeros((width, width)), False
         for batch in batches:
             if batch.num_rows:
-                unit = _unit(_given(batch.column(0), width))
+                unit, seen = _unit(_given(batch.column(0), width)), True
                 total += unit.T @ unit
-        i, j = np.indices(total.shape)
-        yield pa.RecordBatch.from_arrays([pa.array(x.ravel()) for x in (i, j, total)], ["i", "j", "total"])
+        if seen:
+            yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId() // SUMMED], pa.int64()), pa.array([total[upper].tobytes()])], ["part", "total"])
 
-    found = groups.select("values").mapInArrow(moments, "i long, j long, total double").groupBy("i", "j").agg(F.sum("total")).collect()
+    def added(part: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(len(upper[0]))
+        for batch in batches:
+            for x in batch.column("total"):
+                total += np.frombuffer(x.as_buffer())
+        yield pa.RecordBatch.from_arrays([pa.array([part[0].as_py() // SUMMED], pa.int64()), pa.array([total.tobytes()])], ["part", "total"])
+
+    sums = groups.select("values").mapInArrow(moments, "part long, total binary")
+    tasks = sums.rdd.getNumPartitions()
+    while tasks > 1:
+        sums, tasks = sums.groupBy("part").applyInArrow(added, "part long, total binary"), -(-tasks // SUMMED)
     matrix = np.zeros((width, width))
-    for i, j, total in found:
-        matrix[i, j] = round(total, 9)  # sums come in any order; the basis should not depend on it
+    for row in sums.collect():  # one at the most
+        matrix[upper] += np.frombuffer(row.total)
+    matrix = np.round(matrix + np.triu(matrix, 1).T, 9)  # sums come in any order; the basis should not depend on it
     return np.linalg.eigh(matrix)[1][:, ::-1].copy()
 
 

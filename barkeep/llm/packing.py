@@ -26,6 +26,7 @@ repeated rows are packed each on its own; an empty table gives no rows.
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import zlib
@@ -54,6 +55,19 @@ SIMPLE = re.compile("[!-&(-~À-ÖØ-öø-ÿ]+").fullmatch
 PARTS = re.compile("[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ]+").findall
 
 
+# How a model normalises and cuts texts for which the chunks between white space may be encoded apart, and the parts above hold.
+CHUNKED = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+}
+
+
 def byte_characters() -> dict[int, int]:
     """The character by which the model's vocabulary spells each byte: visible Latin-1 is itself, the rest follows from 256 on."""
     visible = [b for b in range(256) if chr(b).isprintable() and b not in (0x20, 0xA0, 0xAD)]
@@ -62,7 +76,7 @@ def byte_characters() -> dict[int, int]:
 
 
 class ChunkEncoder:
-    """Ids of texts, as bytes of little-endian 32-bit numbers. The tokenizer drops white space, so chunks between are encoded apart and remembered."""
+    """Ids of texts, as bytes of little-endian 32-bit numbers. A tokenizer as in CHUNKED drops white space, so chunks between are encoded apart and remembered; any other one encodes texts whole."""
 
     def __init__(self, model: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -70,6 +84,8 @@ class ChunkEncoder:
 
         self.tokenizer = Tokenizer.from_str(model)
         self.tokenizer.encode_special_tokens = True
+        said = json.loads(model)
+        self.chunked = all(said[k] == v for k, v in CHUNKED.items()) and said["model"]["type"] == "BPE" and not said.get("post_processor")
         self.merged, self.spelt = self.tokenizer.model.tokenize, byte_characters()
         self.cache: dict[str, bytes] = {}  # the younger generation
         self.older: dict[str, bytes] = {}
@@ -91,7 +107,7 @@ class ChunkEncoder:
         return [array("I", x.ids).tobytes() for x in found]
 
     def ids(self, text: str) -> bytes:
-        if any(c in text for c in SPLIT_ONLY):
+        if not self.chunked or any(c in text for c in SPLIT_ONLY):
             return self._encode([text])[0]
         chunks, cache = text.split(), self.cache
         new = list({c for c in chunks if c not in cache})

@@ -230,6 +230,15 @@ def test_best_fit_passes_no_more_at_any_size():
     assert many < 2 * few
 
 
+def test_another_tokenizer_encodes_whole_texts(odd_rows):
+    """One that keeps white space; chunks between white space would be wrong."""
+    other = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    encoder = packing.ChunkEncoder(other.to_str())
+    assert not encoder.chunked and packing.ChunkEncoder(open(MODEL).read()).chunked
+    for text in [r[1] or "" for r in odd_rows]:
+        assert encoder.ids(text) == array("I", other.encode(text, add_special_tokens=False).ids).tobytes()
+
+
 def test_packing_of_odd_documents(spark, odd_docs, odd_rows, no_docs, tokenizer, monkeypatch):
     monkeypatch.setattr(packing, "CELL_ROWS", 3)
     found = packing.pack(odd_docs.withColumnRenamed("source", "length"), MODEL).collect()

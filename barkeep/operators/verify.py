@@ -59,9 +59,10 @@ def out_of_order(rows: DataFrame) -> DataFrame:
 
 
 def with_duplicates(rows: DataFrame) -> DataFrame:
-    """Accepted lines with is_first: the earliest line of each time of a file."""
-    first = F.row_number().over(Window.partitionBy("file", "ts").orderBy("line_no")) == 1
-    return rows.where("accepted").withColumn("is_first", first)
+    """Accepted lines with is_first: the earliest line of each time of a file. First lines are aggregated before they are joined, so a time with very many lines is no task's burden."""
+    rows = rows.where("accepted")
+    firsts = rows.groupBy("file", "ts").agg(F.min("line_no").alias("first_line"))
+    return rows.join(firsts, ["file", "ts"]).withColumn("is_first", F.col("line_no") == F.col("first_line")).drop("first_line")
 
 
 def deltas(unique: DataFrame, interval_ms: int = 0, key: str = "file", ts: str = "ts") -> DataFrame:

@@ -241,7 +241,7 @@ def sort_bars(s: SparkSession, d: str) -> DataFrame:
 @registered
 def t6_records(s: SparkSession, d: str) -> DataFrame:
     rows = bars.positions(bars.t6_records(b.bars(s, d), times.HOUR), "close_time", True)
-    return rows.select("symbol", "close_time", "rec_no", *[F.col(c).cast("double").alias(c) for c in ("open", "high", "low", "close", "f_val", "volume")])
+    return rows.select("symbol", "close_time", "rec_no", *[F.col(c).cast("double").alias(c) for c in ("open", "high", "low", "close", "volume", "f_val")])
 
 
 @registered
@@ -384,7 +384,8 @@ def append_monotonic(s: SparkSession, d: str) -> DataFrame:
 @registered
 def append_archives(s: SparkSession, d: str) -> DataFrame:
     stored, incoming = b.funding(s, d)
-    return append.append_archives(incoming.withColumn("file_no", F.expr("pos div 5000")), stored)
+    rows = append.append_archives(incoming.withColumn("file_no", F.expr("pos div 5000")), stored)
+    return rows.select(*incoming.columns, "file_no")
 
 
 @registered
@@ -397,7 +398,7 @@ def take_until_known(s: SparkSession, d: str) -> DataFrame:
     """Pages of days, newest first; within a page by order key."""
     stored, incoming = b.funding(s, d)
     pages = incoming.withColumn("page", -F.expr(f"ts div {times.DAY}"))
-    return append.take_until_known(pages, stored.where("pos % 4 = 0"))
+    return append.take_until_known(pages, stored.where("pos % 4 = 0")).select(*pages.columns)
 
 
 @registered
@@ -461,7 +462,7 @@ def manifest_prune(s: SparkSession, d: str) -> DataFrame:
     listed = files.flatten_manifest(b.manifest(s, d))
     kinds = listed.select(F.explode(F.array(*map(F.lit, fetch.SPANS))).alias("kind"), "symbol", "date_ts")
     resume = b.ticks(s, d).groupBy("symbol").agg((F.min("ts_ms") + 20 * times.DAY).alias("last_ts")).where("symbol <> 'click'")
-    return fetch.prune_manifest(kinds, resume)
+    return fetch.prune_manifest(kinds, resume).select(*kinds.columns)
 
 
 def _resolved(s: SparkSession, d: str) -> DataFrame:

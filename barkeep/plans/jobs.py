@@ -53,6 +53,13 @@ def update_bars(
     return Update(plan, new.repartitionByRange("symbol", "ts").sortWithinPartitions("symbol", "ts"), append.append_counts(new), universe.purged(store, gone))
 
 
+def apply_update(update: Update, table: VersionedTable, gone: DataFrame | None = None, token: str | None = None) -> int:
+    """Commits an update to a versioned table: its new rows, once under the token, and then the symbols in ``gone`` leave. The table's version."""
+    new = update.new.select(*(table.read().columns if table.version() else [c for c in update.new.columns if c not in ("pos", "file_no")]))
+    version = table.append(new, token)
+    return version if gone is None else table.remove(gone, None if token is None else f"{token} purge")
+
+
 #: The order in which kinds of archives are taken.
 KINDS = ("monthly", "daily", "funding")
 

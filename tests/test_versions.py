@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from barkeep.operators import universe
 from barkeep.plans import jobs
 from barkeep.plans.rules import LineRule
 from barkeep.sources.staging import Staging
@@ -117,6 +118,18 @@ def test_repair_and_purge(spark, tmp_path):
     assert [r[0] for r in table.keys().collect()] == ["Y"]
 
 
+def test_an_update_is_committed_once(spark, table):
+    master = spark.createDataFrame([("A", True, 0, 0), ("B", False, 0, 0)], "symbol string, is_trading boolean, list_time long, delivery_time long")
+    wanted = spark.createDataFrame([("A",)], "symbol string")
+    table.append(spark.createDataFrame([("A", 1), ("B", 1), ("Z", 1)], "symbol string, ts long"))
+    incoming = spark.createDataFrame([("A", 1, 0), ("A", 1_500_000_000_000, 1)], "symbol string, ts long, pos long")
+    store = table.read()
+    update = jobs.update_bars(incoming, store, master, wanted, "binance", 1_600_000_000_000, 3_600_000, delete_delisted=True)
+    gone = universe.delete_set(master, table.keys())
+    assert [jobs.apply_update(update, table, gone, "monday"), jobs.apply_update(update, table, gone, "monday")] == [3, 3]
+    assert rows_of(table.read()) == [("A", 1), ("A", 1_500_000_000_000)]
+
+
 @pytest.fixture
 def staged(spark, tmp_path):
     """Two runs: one staged batch by batch, the last of them torn, and one at once."""

@@ -14,7 +14,7 @@ Sweeps, matching and updates of gaps run in one Python loop on the driver (``bes
 counts of classes, not as distributed sweeps. A length splits at most one entry of gaps and opens
 at most two, so there are 2 * CAPACITY entries at the most, and a range fills a place in the
 sequences of one of them: no more than 2 * CAPACITY**2 ranges (33.5 million), whatever the number
-of documents. Mixes that were tried gave up to 69,841. Sweeps over rows were tried instead: with all
+of documents. They are written as they come, PLANNED at a time. Mixes that were tried gave up to 69,841. Sweeps over rows were tried instead: with all
 sequences open and one piece for each gap in a superstep, nine supersteps place 99.4 % of the pieces of
 a mix of 55,398, but the gaps that remain are everywhere and three tokens wide, so twelve sequences more
 are needed than the 15,498 that the tokens allow and that this packing takes.
@@ -29,22 +29,26 @@ from __future__ import annotations
 import json
 import os
 import re
+import uuid
 import zlib
 from array import array
 from collections.abc import Iterator
+from itertools import islice
 
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from barkeep.llm._util import long_table, small_batches, written
+from barkeep.llm._util import long_table, shared_dir, small_batches, written
 
 CAPACITY, END = 4096, 1
 #: Chunks between white space in each of two generations that a worker remembers, and the longest of them.
 CACHED, CACHED_LENGTH = 120_000, 40
 #: Pieces of a length that one task ranks, about, in no more than CELLS cells; ranks are joined in blocks of BLOCK.
 CELL_ROWS, CELLS, BLOCK = 1_000, 1 << 16, 64
+#: Ranges that the driver holds at once.
+PLANNED = 500_000
 #: White space to Python's split() alone; a text that holds one of these is encoded whole.
 SPLIT_ONLY = "\x1c\x1d\x1e\x1f"
 
@@ -157,11 +161,11 @@ def pieces(docs: DataFrame, model_path: str, doc_id: str = "doc_id", text: str =
     return rows.mapInArrow(run, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long")
 
 
-def best_fit(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, int, int, int, int]]:
-    """(length, first, last, sequence, offset): where the pieces of each length go, by rank; last is exclusive."""
+def sweeps(counts: dict[int, int], capacity: int = CAPACITY) -> Iterator[tuple[int, int, int, int, int]]:
+    """(length, first, last, sequence, offset): where the pieces of each length go, by rank; last is exclusive. What is kept between two of them is the gaps, 2 * capacity entries at the most."""
     gaps: list[list[list[int]]] = [[] for _ in range(capacity + 1)]  # by room: [first sequence, number of sequences]
     open_ = 0  # bit c: there are gaps with room c
-    n_sequences, out = 0, []
+    n_sequences = 0
 
     def shrunk(room: int, sequence: int, n: int) -> None:
         nonlocal open_
@@ -177,9 +181,9 @@ def best_fit(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int
                 per = capacity // length
                 full, rest = divmod(n - at, per)
                 for k in range(per if full else 0):
-                    out.append((length, at + k * full, at + (k + 1) * full, n_sequences, k * length))
+                    yield (length, at + k * full, at + (k + 1) * full, n_sequences, k * length)
                 for k in range(rest):
-                    out.append((length, at + per * full + k, at + per * full + k + 1, n_sequences + full, k * length))
+                    yield (length, at + per * full + k, at + per * full + k + 1, n_sequences + full, k * length)
                 shrunk(capacity - per * length, n_sequences, full)
                 shrunk(capacity - rest * length, n_sequences + full, 1 if rest else 0)
                 n_sequences += full + (1 if rest else 0)
@@ -189,7 +193,7 @@ def best_fit(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int
             open_ &= ~(1 << room)
             for i, (sequence, m) in enumerate(swept):
                 take = min(m, n - at)
-                out.append((length, at, at + take, sequence, capacity - room))
+                yield (length, at, at + take, sequence, capacity - room)
                 at += take
                 shrunk(room - length, sequence, take)
                 shrunk(room, sequence + take, m - take)
@@ -197,7 +201,11 @@ def best_fit(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int
                     for rest_of in swept[i + 1 :]:
                         shrunk(room, *rest_of)
                     break
-    return out
+
+
+def best_fit(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, int, int, int, int]]:
+    """All of ``sweeps``."""
+    return list(sweeps(counts, capacity))
 
 
 def ranked(cut: DataFrame) -> DataFrame:
@@ -212,17 +220,23 @@ def ranked(cut: DataFrame) -> DataFrame:
     return rows.withColumn("inner", inner).join(firsts, ["length", "cell"]).withColumn("rank", F.col("inner") + F.col("first")).drop("inner", "first", "cell")
 
 
-def _ranges(spark: SparkSession, plan: list[tuple[int, int, int, int, int]]) -> DataFrame:
+def _ranges(spark: SparkSession, plan: Iterator[tuple[int, int, int, int, int]]) -> DataFrame:
+    """The ranges as a table, with the blocks of ranks that they reach. The driver holds PLANNED at a time and writes them to the shared folder."""
     names = ["length", "first", "last", "sequence", "place"]
-    rows = spark.createDataFrame(pd.DataFrame(plan, columns=names).astype("int64"), ", ".join(f"{n} long" for n in names))
-    return rows.withColumn("block", F.explode(F.sequence(F.expr(f"first div {BLOCK}"), F.expr(f"(last - 1) div {BLOCK}"))))
+    schema, path = ", ".join(f"{n} long" for n in names), f"{shared_dir(spark)}/ranges-{uuid.uuid4().hex}"
+    while True:
+        some = pd.DataFrame(list(islice(plan, PLANNED)), columns=names).astype("int64")
+        spark.createDataFrame(some, schema).write.mode("append").parquet(path)
+        if len(some) < PLANNED:
+            break
+    return spark.read.schema(schema).parquet(path).withColumn("block", F.explode(F.sequence(F.expr(f"first div {BLOCK}"), F.expr(f"(last - 1) div {BLOCK}"))))
 
 
 def pack(docs: DataFrame, model_path: str, doc_id: str = "doc_id", text: str = "text", capacity: int = CAPACITY) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32, sequence_id, offset) for every piece of every document."""
     cut = written(pieces(docs, model_path, doc_id, text, capacity), "pieces")
     counts = dict(cut.groupBy("length").count().collect())
-    ranges = _ranges(docs.sparkSession, best_fit(counts, capacity))
+    ranges = _ranges(docs.sparkSession, sweeps(counts, capacity))
     rows = ranked(cut).withColumn("block", F.expr(f"rank div {BLOCK}"))
     placed = rows.join(ranges, ["length", "block"]).where((F.col("rank") >= F.col("first")) & (F.col("rank") < F.col("last")))
     sequence = F.col("sequence") + F.col("rank") - F.col("first")

@@ -241,6 +241,7 @@ def test_another_tokenizer_encodes_whole_texts(odd_rows):
 
 def test_packing_of_odd_documents(spark, odd_docs, odd_rows, no_docs, tokenizer, monkeypatch):
     monkeypatch.setattr(packing, "CELL_ROWS", 3)
+    monkeypatch.setattr(packing, "PLANNED", 2)
     found = packing.pack(odd_docs.withColumnRenamed("source", "length"), MODEL).collect()
     want = []
     for doc_id, text, *_ in odd_rows:

@@ -36,12 +36,13 @@ def _earlier(key: str, blocks: list[str], backwards: bool) -> Window:
     return Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
 
 
-def numbered(rows: DataFrame, key: str, blocks: list[str], order: list[Column], to: str, backwards: bool = False) -> DataFrame:
+def numbered(rows: DataFrame, key: str, blocks: list[str], order: list[Column], to: str, backwards: bool = False, counted: str = "*") -> DataFrame:
     """``rows`` with ``to``, the position of a row in its key from 1: by the columns ``blocks``, and within a block by ``order``.
 
-    With backwards the blocks are taken from the last to the first; ``order`` then descends too.
+    With backwards the blocks are taken from the last to the first; ``order`` then descends too. Where ``rows`` come from a wide exchange, a column of it that
+    is never null may be counted, so that both uses of ``rows`` read the same exchange.
     """
-    counts = rows.groupBy(key, *blocks).agg(F.count("*").alias("n_block"))
+    counts = rows.groupBy(key, *blocks).agg(F.count(counted).alias("n_block"))
     counts = counts.select(key, *blocks, F.coalesce(F.sum("n_block").over(_earlier(key, blocks, backwards)), F.lit(0)).alias("n_before"))
     inner = F.row_number().over(Window.partitionBy(key, *blocks).orderBy(*order))
     return rows.withColumn(to, inner).join(counts, [key, *blocks]).withColumn(to, (F.col(to) + F.col("n_before")).cast("long")).drop("n_before")

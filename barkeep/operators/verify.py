@@ -58,6 +58,15 @@ def out_of_order(rows: DataFrame) -> DataFrame:
     return rows.withColumn("out_of_order", F.coalesce(F.col("ts") < F.coalesce("above", "seam"), F.lit(False))).drop("block", "above", "seam")
 
 
+def _order_counts(rows: DataFrame) -> DataFrame:
+    """(file, out_of_order): how many accepted lines ``out_of_order`` marks, in one pass."""
+    rows = rows.where("accepted").select("file", "line_no", "ts", F.expr(f"line_no - pmod(line_no, {BLOCK_LINES})").alias("block"))
+    above = F.lag("ts").over(Window.partitionBy("file", "block").orderBy("line_no"))
+    ends = rows.withColumn("above", above).groupBy("file", "block")
+    ends = ends.agg(F.count_if(F.col("ts") < F.col("above")).alias("n"), F.min_by("ts", "line_no").alias("first"), F.max_by("ts", "line_no").alias("last"))
+    return blocks.seams(ends, "file").groupBy("file").agg((F.sum("n") + F.count_if(F.col("delta") < 0)).alias("out_of_order"))
+
+
 def with_duplicates(rows: DataFrame) -> DataFrame:
     """Accepted lines with is_first: the earliest line of each time of a file. First lines are aggregated before they are joined, so a time with very many lines is no task's burden."""
     rows = rows.where("accepted")
@@ -109,14 +118,15 @@ def file_report(raw: DataFrame, rule: LineRule, files: DataFrame | None = None)
 
     total_records counts accepted lines, repeats included.
     """
-    rows = parsed(raw, rule)
-    times = rows.groupBy("file", F.when(F.col("accepted"), F.col("ts")).alias("ts")).agg(F.count("*").alias("n"), F.count_if("salvaged").alias("salvaged"))  # partial sums first, so many copies are no burden
+    rows = parsed(raw, rule, skip_header=False)
+    is_data = F.col("line_no") > 1
+    of_time = F.when(is_data & F.col("accepted"), F.col("ts"))
+    times = rows.groupBy("file", of_time.alias("ts")).agg(F.count_if(is_data).alias("n"), F.count_if(is_data & F.col("salvaged")).alias("salvaged"))  # partial sums first, so many copies are no burden
     is_time = F.col("ts").isNotNull()
     sums = {"total_records": F.when(is_time, F.col("n")), "malformed": F.when(~is_time, F.col("n")), "salvaged": F.col("salvaged"), "duplicates": F.when(is_time, F.col("n") - 1)}
     counted = _gap_counts(times, rule.interval_ms, "file", "ts", sums)
-    order = out_of_order(rows).groupBy("file").agg(F.count_if("out_of_order").alias("out_of_order"))
-    known = raw.select("file").distinct() if files is None else files
-    out = known.join(counted, "file", "left").join(order, "file", "left")
+    order = _order_counts(rows.where(is_data))
+    out = (counted if files is None else files.join(counted, "file", "left")).join(order, "file", "left")
     counters = ["total_records", "malformed", "salvaged", "duplicates", "out_of_order", "gaps", "missing_bars"]
     failed = F.coalesce("read_failed", F.lit(False)) if "read_failed" in out.columns else F.lit(False)
     out = out.select("file", *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in counters], "first_gap_ts", failed.alias("read_failed"))
@@ -162,7 +172,7 @@ def repaired(raw: DataFrame, rule: LineRule, report: DataFrame | None = None) ->
     body = parsed(raw, rule).where("accepted").groupBy("file", "ts").agg(F.min_by("line", "line_no").alias("line"))
     head = canonical_header(raw, rule).select("file", F.lit(None).cast("long").alias("ts"), F.col("header").alias("line"))
     rows = head.unionByName(body).withColumn("block", blocks.of_time(F.col("ts"), rule.interval_ms))
-    return blocks.numbered(rows, "file", ["block"], [F.col("ts").asc_nulls_first()], "line_no").select("file", "line_no", "line")
+    return blocks.numbered(rows, "file", ["block"], [F.col("ts").asc_nulls_first()], "line_no", counted="line").select("file", "line_no", "line")
 
 
 def torn_tails(raw: DataFrame, rule: LineRule, floor: int) -> DataFrame:

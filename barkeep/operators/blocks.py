@@ -3,7 +3,7 @@
 A symbol or file is cut into blocks along its order: of time, of position or of lines. A window runs within
 a block; what crosses from one block to the next is carried by a table with one row for each block: how many
 rows lie before it, the largest value before it, the last time before it. So no task holds a whole key, and
-what a window over a whole key still sorts is one row for each BLOCK_ROWS. Keys are not null.
+what a window over a whole key still sorts is one row for each BLOCK_ROWS. Rows whose key is null are left out.
 """
 
 from __future__ import annotations

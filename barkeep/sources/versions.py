@@ -24,7 +24,7 @@ class Conflict(RuntimeError):
 
 
 class VersionedTable:
-    """Rows by ``key``, a column of strings without nulls. A commit adds rows, replaces or removes whole keys."""
+    """Rows by ``key``, a column of strings; a null or empty one is an error. A commit adds rows, replaces or removes whole keys."""
 
     def __init__(self, spark: SparkSession, path: str, key: str = "symbol"):
         self.spark, self.path, self.key = spark, path.rstrip("/"), key
@@ -116,7 +116,9 @@ class VersionedTable:
             if schema is not None and set(schema.names) != set(rows.columns):
                 raise ValueError(f"the table has the columns {', '.join(schema.names)}")
             schema = schema or rows.schema
-            spread = rows.select(*schema.names).withColumn(self.key, F.col(self.key).cast("string")).hint("rebalance", self.key)
+            key = F.col(self.key).cast("string")
+            named = F.when(key.isNull() | (key == ""), F.raise_error(F.lit(f"a row without {self.key}")).cast("string")).otherwise(key)
+            spread = rows.select(*schema.names).withColumn(self.key, named).hint("rebalance", self.key)
             spread.write.option("maxRecordsPerFile", FILE_ROWS).partitionBy(self.key).parquet(f"{self.path}/data/gen={gen}")
             if self._any_folder(gen):
                 own = self._generations({"schema": schema.jsonValue()}, [gen]).select(self.key, "gen").distinct()

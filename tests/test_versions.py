@@ -37,7 +37,10 @@ def test_versions(spark, table):
     assert sorted(r[0] for r in table.keys().collect()) == ["A", "C/ d%"]
     with pytest.raises(ValueError, match="columns"):
         table.append(make(("A", 1, 1.0)).drop("close"))
-    assert table.append(make().limit(0)) == 5 and rows_of(table.read()) == [("A", 9, 9.0), ("C/ d%", 5, 1.0)]
+    for none in (None, ""):
+        with pytest.raises(Exception, match="a row without symbol"):
+            table.append(make((none, 1, 1.0)))
+    assert table.append(make(("A", 1, 1.0)).limit(0)) == 5 and rows_of(table.read()) == [("A", 9, 9.0), ("C/ d%", 5, 1.0)]
 
 
 def test_a_token_is_committed_once(spark, table):

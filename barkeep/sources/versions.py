@@ -1,7 +1,8 @@
 """A Parquet table of many keys whose versions switch at once.
 
-``data/gen=<id>/<key>=<value>`` has the rows that one commit wrote, ``manifests/<id>`` the live (key, gen) pairs
-after it, and ``commits/<number>`` says which manifest the version has. A commit file gets its name in one step, if no other
+``data/gen=<id>/<key>=<value>`` has the rows that one commit wrote, ``manifests`` the live (key, gen) pairs, and
+``commits/<number>`` says which generations and manifests the version has: an append adds one of each, a replacement or
+removal writes the manifest anew. A commit file gets its name in one step, if no other
 has that name, after all else is written; so readers see the version before or after a commit, never one between, and of two
 writers one fails. What a failed try leaves is in no manifest; ``expire`` deletes it with old generations.
 """
@@ -67,7 +68,8 @@ class VersionedTable:
 
     def _manifest(self, record: dict | None) -> DataFrame:
         schema = f"`{self.key}` string, gen string"
-        return self.spark.read.schema(schema).parquet(f"{self.path}/manifests/{record['manifest']}") if record else self.spark.createDataFrame([], schema)
+        names = record["manifests"] if record else []
+        return self.spark.read.schema(schema).parquet(*[f"{self.path}/manifests/{n}" for n in names]) if names else self.spark.createDataFrame([], schema)
 
     def _generations(self, record: dict, names: list[str]) -> DataFrame:
         schema = T.StructType.fromJson(record["schema"])
@@ -101,7 +103,7 @@ class VersionedTable:
         return self._commit(rows, "rows", token)
 
     def remove(self, keys: DataFrame, token: str | None = None) -> int:
-        """Takes the keys in the one column of ``keys`` out; only a manifest is written."""
+        """Takes the keys in the first column of ``keys`` out; only a manifest is written."""
         return self._commit(None, keys, token)
 
     def _commit(self, rows: DataFrame | None, gone: DataFrame | str | None, token: str | None) -> int:
@@ -109,7 +111,7 @@ class VersionedTable:
         if token is not None and self.committed(token):
             return number
         gen = uuid.uuid4().hex
-        manifest, gens = self._manifest(record), dict(record["gens"]) if record else {}
+        gens, manifests = (dict(record["gens"]), list(record["manifests"])) if record else ({}, [])
         schema = T.StructType.fromJson(record["schema"]) if record else None
         own = None
         if rows is not None:
@@ -123,25 +125,28 @@ class VersionedTable:
             if self._any_folder(gen):
                 own = self._generations({"schema": schema.jsonValue()}, [gen]).select(self.key, "gen").distinct()
                 gens[gen] = True
-        if gone is not None:
-            taken = own if isinstance(gone, str) else gone
-            if taken is not None:
-                manifest = manifest.join(taken.select(F.col(taken.columns[0]).alias(self.key)), self.key, "left_anti")
-                gens = {g: w and g == gen for g, w in gens.items()}
-        manifest = manifest.select(self.key, "gen")
-        (manifest if own is None else manifest.unionByName(own)).write.parquet(f"{self.path}/manifests/{gen}")
-        if gone is not None:
+        taken = own if isinstance(gone, str) else gone
+        if taken is not None:  # else the other keys stay as they are, and only the new pairs are written
+            rest = self._manifest(record).join(taken.select(F.col(taken.columns[0]).alias(self.key)), self.key, "left_anti").select(self.key, "gen")
+            (rest if own is None else rest.unionByName(own)).write.parquet(f"{self.path}/manifests/{gen}")
             live = {r.gen for r in self.spark.read.parquet(f"{self.path}/manifests/{gen}").select("gen").distinct().collect()}  # one row for each generation
-            gens = {g: w for g, w in gens.items() if g in live}
-        self._publish(number + 1, {"manifest": gen, "gens": gens, "schema": (schema or T.StructType()).jsonValue(), "token": token})
+            gens, manifests = {g: w and g == gen for g, w in gens.items() if g in live}, [gen]
+        elif own is not None:
+            own.write.parquet(f"{self.path}/manifests/{gen}")
+            manifests.append(gen)
+        self._publish(number + 1, {"id": gen, "manifests": manifests, "gens": gens, "schema": (schema or T.StructType()).jsonValue(), "token": token})
         return number + 1
 
     def _any_folder(self, gen: str) -> bool:
-        return any("=" in name for name, _ in self._names(f"data/gen={gen}"))
+        found = self._fs.listStatusIterator(self._at(f"data/gen={gen}"))
+        while found.hasNext():  # the first folder ends it
+            if "=" in found.next().getPath().getName():
+                return True
+        return False
 
     def _publish(self, number: int, record: dict) -> None:
         """The switch: gives the written commit file its name, in one step and only if there is none of that name."""
-        half, final = self._at(f"commits/.{record['manifest']}"), self._at(f"commits/{number:08d}")
+        half, final = self._at(f"commits/.{record['id']}"), self._at(f"commits/{number:08d}")
         out = self._fs.create(half)
         out.write(bytearray(json.dumps(record).encode()))
         out.close()
@@ -166,7 +171,7 @@ class VersionedTable:
     def expire(self, keep: int = 2, min_age_s: float = 86_400) -> list[str]:
         """Deletes the generations and manifests that the last ``keep`` versions don't need, if they are older than ``min_age_s``; commit files stay. The deleted names."""
         kept = [self._record(n) for n in sorted(self._numbers())[-keep:]]
-        live = {f"gen={g}" for r in kept for g in r["gens"]} | {r["manifest"] for r in kept}
+        live = {f"gen={g}" for r in kept for g in r["gens"]} | {m for r in kept for m in r["manifests"]}
         old = (time.time() - min_age_s) * 1000
         dead = [f"{folder}/{n}" for folder in ("data", "manifests") for n, changed in self._names(folder) if n not in live and changed <= old]
         for name in dead:

@@ -26,6 +26,8 @@ def test_versions(spark, table):
     with pytest.raises(ValueError, match="no version"):
         table.read()
     assert table.version() == 0 and table.keys().collect() == []
+    assert table.append(make(("A", 0, 0.0)).limit(0)) == 1 and table.read().collect() == [] and table.keys().collect() == []
+    table._fs.delete(table._at("commits"), True)
     assert table.append(make(("A", 1, 1.0), ("001", 1, 1.0))) == 1
     assert table.append(make(("A", 2, 2.0), ("C/ d%", 5, 1.0))) == 2
     assert table.replace(make(("A", 9, 9.0))) == 3

@@ -97,11 +97,14 @@ class ChunkEncoder:
     def _chunks(self, chunks: list[str]) -> dict[str, bytes]:
         out, others = {}, []
         for chunk in chunks:
-            if SIMPLE(chunk):
+            if chunk.isascii() and chunk.isalpha():  # one part
+                words = [chunk.lower()]
+            elif SIMPLE(chunk):
                 words = [w if w.isascii() else w.encode().decode("latin-1").translate(self.spelt) for w in PARTS(chunk.lower())]
-                out[chunk] = array("I", [t.id for w in words for t in self.merged(w)]).tobytes()
             else:
                 others.append(chunk)
+                continue
+            out[chunk] = array("I", [t.id for w in words for t in self.merged(w)]).tobytes()
         if others:
             out.update(zip(others, self._encode(others), strict=True))
         return out
@@ -114,16 +117,19 @@ class ChunkEncoder:
         if not self.chunked or any(c in text for c in SPLIT_ONLY):
             return self._encode([text])[0]
         chunks, cache = text.split(), self.cache
-        new = list({c for c in chunks if c not in cache})
+        new = set(chunks).difference(cache)
         if not new:
             return b"".join(map(cache.__getitem__, chunks))
         older = self.older
         fresh = {c: older[c] for c in new if c in older}
         fresh.update(self._chunks([c for c in new if c not in older]))
-        out = b"".join([cache[c] if c in cache else fresh[c] for c in chunks])
+        cache.update(fresh)
+        out = b"".join(map(cache.__getitem__, chunks))
+        for c in fresh:
+            if len(c) > CACHED_LENGTH:
+                del cache[c]
         if len(cache) > CACHED:
             self.older, self.cache = cache, {}
-        self.cache.update((c, i) for c, i in fresh.items() if len(c) <= CACHED_LENGTH)
         return out
 
 

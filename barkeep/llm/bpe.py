@@ -20,6 +20,7 @@ from collections.abc import Iterable, Iterator
 from hashlib import sha256
 from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark import Broadcast
@@ -37,6 +38,14 @@ UNASSIGNED = "\u0378"
 CACHED, CACHED_LENGTH = 400_000, 40
 #: Rows that are encoded together.
 TOGETHER = 200
+#: The pattern whose matches ``ByteBpe.measured`` finds by kinds of characters; for any other it takes the matches themselves.
+BY_KINDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: Kinds of characters, the groups of ``_KIND``; END stands behind each text, as the number after the last character's.
+SIGN, LETTER, NUMBER, SPACE, END, UNSEEN = range(6)
+END_CODE = sys.maxunicode + 1
+_KIND = regex.compile(r"(\p{L})|(\p{N})|(\s)").match
+#: Characters that are split at a time, or one text.
+SPLIT_CHARS = 1 << 20
 
 
 def read_ranks(path: str) -> list[bytes]:
@@ -81,10 +90,34 @@ def newer_letters(pattern: str) -> str:
 _TABLE = {b: FIRST_CHAR + b for b in range(256)}
 
 
+def _begins(codes: np.ndarray, kinds: np.ndarray) -> np.ndarray:
+    """Whether a match of BY_KINDS begins at each character, or an END."""
+    begins = np.empty(len(codes), bool)
+    begins[0], begins[1:] = True, kinds[1:] != kinds[:-1]
+    space = kinds == SPACE
+    full = ~space & (kinds != END)
+    begins[1:] &= ~((codes[:-1] == ord(" ")) & full[1:])  # a blank is taken by what follows
+    begins[1:-1] |= space[:-2] & space[1:-1] & full[2:]  # the last of some spaces is left to what follows
+    begins |= kinds == END
+    at = np.flatnonzero(begins & (codes == ord("'")))
+    one, two = codes[at + 1], codes[np.minimum(at + 2, len(codes) - 1)]
+    short = np.isin(one, list(map(ord, "stmd")))
+    long = np.isin(one, list(map(ord, "rv"))) & (two == ord("e")) | (one == ord("l")) & (two == ord("l"))
+    begins[at[short | long] + 1] = False
+    begins[at[short] + 2] = begins[at[long] + 3] = True
+    return begins
+
+
 def _characters(data: bytes) -> str:
     return data.decode("latin-1").translate(_TABLE)
 
 
+def _all_characters(texts: list[str]) -> list[str]:
+    """``_characters`` of the bytes of each text, in one pass: the byte 255, which is in no text, stands between them."""
+    data = np.frombuffer(b"\xff".join(map(str.encode, texts)), np.uint8).astype("<u2") + np.uint16(FIRST_CHAR)
+    return data.astype("<u2").tobytes().decode("utf-16-le").split(chr(FIRST_CHAR + 255))
+
+
 class ByteBpe:
     """Encoder and decoder of one worker, made from a serialised model, the pre-token pattern and its newer letters, to be taken as signs."""
 
@@ -94,11 +127,15 @@ class ByteBpe:
         self.newer = dict.fromkeys(map(ord, newer), UNASSIGNED)
         self.may_hold_newer = re.compile(f"[{min(newer, default='')}-\U0010ffff]").search if newer else lambda text: None
 
+        self.by_kinds, self.kinds = pattern == BY_KINDS, np.full(END_CODE + 1, UNSEEN, np.uint8)
+        self.kinds[END_CODE] = END
+
         self.processor = sentencepiece.SentencePieceProcessor(model_proto=model)
         self.findall = regex.compile(pattern).findall
         pieces = map(self.processor.id_to_piece, range(1, self.processor.vocab_size()))
         self.token_bytes = [bytes(ord(c) - FIRST_CHAR for c in piece) for piece in pieces]
         self.cache: dict[str, tuple[int, ...]] = {}
+        self.numbers: dict[str, int] = {}
 
     def encode_pretokens(self, lists: list[list[str]]) -> list[list[int]]:
         """The ids of each list of pre-tokens."""
@@ -116,19 +153,21 @@ class ByteBpe:
         return out
 
     def counts(self, pretokens: list[str]) -> list[int]:
-        """The number of ids of each pre-token."""
-        cache = self.cache
-        try:
-            return [len(cache[p]) for p in pretokens]
-        except KeyError:
-            new = list({p for p in pretokens if p not in cache})
-            encoded = self.encode_pretokens([[p] for p in new])
-            own = {p: len(ids) for p, ids in zip(new, encoded, strict=True)}
-            return [own[p] if p in own else len(cache[p]) if p in cache else len(self._ids(p)) for p in pretokens]
-
-    def _ids(self, pretoken: str) -> tuple[int, ...]:
-        found = self.cache.get(pretoken)
-        return tuple(self.encode_pretokens([[pretoken]])[0]) if found is None else found
+        """The number of ids of each pre-token; numbers are remembered, never the ids."""
+        known = self.numbers
+        if len(known) > CACHED:
+            known.clear()
+        found = list(map(known.get, pretokens))
+        missing = [i for i, n in enumerate(found) if n is None]
+        if missing:
+            new = list({pretokens[i] for i in missing})
+            known.update(zip(new, map(len, self.processor.encode(_all_characters(new), num_threads=1)), strict=True))
+            for i in missing:
+                found[i] = known[pretokens[i]]
+            for p in new:
+                if len(p) > CACHED_LENGTH:
+                    del known[p]
+        return found
 
     def split(self, text: str) -> list[str]:
         """The pre-tokens of a text."""
@@ -140,6 +179,46 @@ class ByteBpe:
             at += len(word)
         return out
 
+    def measured(self, texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """The lengths of each text's pre-tokens and their numbers of ids; words become strings once for each group of texts."""
+        if not self.by_kinds:
+            for words in map(self.split, texts):
+                yield np.array(list(map(len, words)), np.int64), np.array(self.counts(words), np.int64)
+            return
+        group, size = [], 0
+        for text in texts:
+            if group and size + len(text) > SPLIT_CHARS:
+                yield from self._measured(group)
+                group, size = [], 0
+            group.append(text)
+            size += len(text)
+        if group:
+            yield from self._measured(group)
+
+    def _measured(self, texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        whole = "\0".join([*texts, ""])
+        data, codes = whole.encode(), np.frombuffer(whole.encode("utf-32-le"), "<u4").copy()
+        ends = np.cumsum([len(t) + 1 for t in texts]) - 1
+        bytes_before = None if len(data) == len(codes) else np.cumsum(1 + (codes > 0x7F) + (codes > 0x7FF) + (codes > 0xFFFF), dtype=np.int64)
+        codes[ends] = END_CODE
+        kinds = self.kinds[codes]
+        unseen = np.unique(codes[kinds == UNSEEN]).tolist()
+        if unseen:
+            for code in unseen:
+                found = None if code in self.newer else _KIND(chr(code))
+                self.kinds[code] = found.lastindex if found else SIGN
+            kinds = self.kinds[codes]
+        begins = np.flatnonzero(_begins(codes, kinds))
+        offsets = np.append(begins, len(data))
+        if bytes_before is not None:
+            offsets[1:-1] = bytes_before[begins[1:] - 1]
+        words = pa.LargeStringArray.from_buffers(len(begins), pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(data)).dictionary_encode()
+        counts = np.array(self.counts(words.dictionary.to_pylist()), np.int64)[words.indices.to_numpy()]
+        lengths, at = np.diff(begins, append=len(codes)), 0
+        for end in np.searchsorted(begins, ends).tolist():
+            yield lengths[at:end], counts[at:end]
+            at = end + 1
+
     def encode(self, texts: Iterable[str]) -> list[list[int]]:
         return self.encode_pretokens([self.split(t) for t in texts])
 

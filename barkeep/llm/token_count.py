@@ -67,7 +67,11 @@ class TokenTree:
 
     @classmethod
     def grown(cls, text: str, pretokens: list[str], counts: list[int]) -> TokenTree:
-        tree = cls(text, np.array(list(map(len, pretokens)), np.int64), np.array(counts, np.int64), [0], [0, 0], [0, 0])
+        return cls.laid_out(text, np.array(list(map(len, pretokens)), np.int64), np.array(counts, np.int64))
+
+    @classmethod
+    def laid_out(cls, text: str, lengths: np.ndarray, counts: np.ndarray) -> TokenTree:
+        tree = cls(text, lengths, counts, [0], [0, 0], [0, 0])
         tree._lay_out()
         return tree
 
@@ -212,8 +216,7 @@ def grown(docs: DataFrame, ranks_path: str, pattern: str, doc_id: str = "doc_id"
 
     def made(coder: ByteBpe, rows: list[dict]) -> list[tuple]:
         texts = [row["text"] or "" for row in rows]
-        words = list(map(coder.split, texts))
-        return [(TokenTree.grown(*x),) for x in zip(texts, words, counted(coder, words), strict=True)]
+        return [(TokenTree.laid_out(text, *numbers),) for text, numbers in zip(texts, coder.measured(texts), strict=True)]
 
     return _over(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), ranks_path, pattern, made, "")
 

@@ -155,3 +155,30 @@ def test_only_edited_documents_are_read(spark, odd_docs, theirs):
     edits = spark.createDataFrame([(4, [(0, 0, "New ")]), (7, [(3, 9, "x")])], "doc_id long, edits array<struct<start:int,end:int,text:string>>")
     rows = token_count.edited(trees.join(edits, "doc_id"), PATH, PATTERN).collect()
     assert {r["doc_id"] for r in rows} == {4, 7} and all(r["n_tokens"] == len(theirs(r["text"])) for r in rows)
+
+
+def test_measured_as_the_pattern_splits(coder, theirs, monkeypatch):
+    """Lengths and counts of whole groups are those of the pattern's own matches, for odd texts and in groups of any size."""
+    rnd = random.Random(4)
+    marks = [" ", "  ", "\n", "\t", " ", "　", "\x1c", "'", "'s", "'t", "'ll", "'re", "'LL", "s", "ve", "a", "é", "9", "²", "!", "-", "́", "\0", "中", "\U0001f600", "\U0003263b"]
+    for turn in range(300):
+        monkeypatch.setattr(bpe, "SPLIT_CHARS", rnd.choice([1, 60, 1 << 20]))
+        texts = [odd_text(rnd) if turn % 3 == 0 else "".join(rnd.choices(marks, k=rnd.randrange(25))) for _ in range(rnd.randrange(10))]
+        found = list(coder.measured(texts))
+        assert [lengths.tolist() for lengths, _ in found] == [list(map(len, coder.split(t))) for t in texts]
+        assert [int(counts.sum()) for _, counts in found] == [len(theirs(t)) for t in texts]
+
+
+def test_other_patterns_are_left_to_their_engine(coder):
+    plain = bpe.ByteBpe(bpe.serialise(bpe.read_ranks(PATH)), r"\s*\S+|\s+")
+    (lengths, counts), none = plain.measured(["it's  a test", ""])
+    assert lengths.tolist() == [4, 3, 5] and counts.tolist() == plain.counts(["it's", "  a", " test"]) and len(none[0]) == 0
+
+
+def test_words_of_many_texts_are_looked_up_once(coder, monkeypatch):
+    """A group of texts asks for each of its words once, and no text is handed to the pattern's engine."""
+    asked, counts = [], coder.counts
+    monkeypatch.setattr(coder, "counts", lambda words: asked.extend(words) or counts(words))
+    monkeypatch.setattr(coder, "split", None)
+    found = list(coder.measured(["the river and the stone. " * 400] * 50))
+    assert len(found) == 50 and len(found[0][0]) == 2401 and len(asked) == len(set(asked)) < 12

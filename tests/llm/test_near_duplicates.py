@@ -273,3 +273,18 @@ def test_shingles_of_a_column():
 def test_queries(spark, odd_docs, odd_rows, tmp_path):
     odd_docs.write.parquet(f"{tmp_path}/documents.parquet")
     assert sorted(map(tuple, queries.op5_jaccard_join(spark, str(tmp_path)).collect()), key=str) == brute_documents(odd_rows)
+
+
+@pytest.mark.parametrize("shingles", [10**6, 3 * 10**8, 2 * 10**9, 2 * 10**10])
+def test_no_bucket_holds_many_signatures(shingles):
+    """A task sorts the signatures of a bucket in memory: 2 * 10**9 shingles, some 6 GB of texts, gave 1.4 million of them to each."""
+    assert shingles * 7 // 10 / jaccard_join.buckets(shingles) <= 1_000_000
+
+
+def test_whole_sets_of_blocks_are_no_one_row(spark):
+    """Sets that are compared come in batches: their plan gathers no list of them in one row of the JVM."""
+    near = spark.createDataFrame([(1, 1, 0, 5, 5), (1, 1, 0, 6, 6), (1, 1, 0, 7, 7)], "x long, y long, side int, component long, id long")
+    rows = [(i, np.arange(k, k + 100, dtype=np.uint64).tobytes()) for i, k in ((5, 0), (6, 3), (7, 900))]
+    found = jaccard_join.compared(near, spark.createDataFrame(rows, "id long, hashes binary"))
+    assert "collect_list(" not in found._jdf.queryExecution().toString()
+    assert [sorted(r) for r in found.collect()] == [[5, 6]]

@@ -1,5 +1,9 @@
 """Joins of hot keys and filters by bits, held against plain joins."""
 
+from urllib.parse import urlparse
+
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -46,3 +50,29 @@ def test_wanted_rows_are_never_dropped(spark, monkeypatch, bits):
 def test_free_names(spark):
     df = spark.createDataFrame([(1, 2)], "a int, A_ int")
     assert _util.free_name(df, "b") == "b" and _util.free_name(df, "a") == "a__"
+
+
+def test_long_rows_go_in_small_batches(spark):
+    """Neither Arrow batches nor those of a Parquet scan hold many long rows, whatever their number of rows allows."""
+    keys = ["spark.sql.execution.arrow.maxBytesPerBatch", "spark.sql.parquet.columnarReaderBatchSize"]
+    before = {k: spark.conf.get(k) for k in keys}
+    try:
+        _util.small_reads(spark)
+        rows = spark.range(0, 300, 1, 1).select(F.repeat(F.lit("long "), 20_000).alias("text"))
+        sizes = rows.mapInArrow(lambda batches: (pa.RecordBatch.from_arrays([pa.array([b.nbytes])], ["n"]) for b in batches), "n long").collect()
+        assert max(r["n"] for r in sizes) <= _util.BATCH_BYTES + 200_000
+        assert int(spark.conf.get(keys[1])) <= _util.READ_ROWS
+        spark.conf.set(keys[0], "256k")
+        _util.small_reads(spark)
+        assert spark.conf.get(keys[0]) == "256k"  # smaller ones stay
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
+def test_tables_of_long_rows_have_small_row_groups(spark):
+    noise = F.concat(*[F.sha2(F.concat("id", F.lit(f" {i}")), 512) for i in range(40)])
+    found = _util.written(spark.range(0, 2000, 1, 1).select("id", noise.alias("text")), "long", small=True)
+    [path] = found.inputFiles()
+    parts = pq.ParquetFile(urlparse(path).path).metadata
+    assert found.count() == 2000 and max(parts.row_group(i).total_byte_size for i in range(parts.num_row_groups)) < 3 * _util.GROUP_BYTES
